@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import evaluation_leaks as leaks
 from corpusloom.llm import formatting_duplicates as formatting
 from corpusloom.runtime import table
 
@@ -17,7 +18,15 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.collapsed(table(spark, sf_dir, "parsed_chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_collapsed)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
+
+
+def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.reparameterised(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_collapsed, p7_found, p7_reparameterised)}
 
 _LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _FIELDS = (
