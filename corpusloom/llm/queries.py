@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import evaluation_leaks as leaks
 from corpusloom.llm import formatting_duplicates as formatting
+from corpusloom.llm import look_alikes
 from corpusloom.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alikes.look_alike_works(table(spark, sf_dir, "canonical_works"))
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title, reading and variant with its consistent form."""
+    return look_alikes.consistent_forms(look_alikes.work_values(table(spark, sf_dir, "canonical_works")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.duplicate_members(table(spark, sf_dir, "parsed_chunks"))
 
@@ -26,7 +36,7 @@ def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.reparameterised(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_collapsed, p7_found, p7_reparameterised)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_collapsed, p7_found, p7_reparameterised)}
 
 _LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _FIELDS = (
