@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_TOKENS = 2000
 
@@ -156,7 +157,7 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(canonical_spellings(held), columns=["token", "spelling"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokens_of(values: pd.Series) -> pd.Series:
     """Tokens between white space of any width; invisible characters stay in their token."""
     out = []
@@ -166,7 +167,7 @@ def tokens_of(values: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def table_form_of(tokens: pd.Series) -> pd.Series:
     return tokens.map(table_form)
 
