@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import evaluation_leaks as leaks
 from corpusloom.llm import formatting_duplicates as formatting
-from corpusloom.llm import look_alikes
+from corpusloom.llm import look_alikes, shared_spans
 from corpusloom.runtime import table
 
 
+def _chunk_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    source = table(spark, sf_dir, "source_chunks").where("chunker_version is null or chunker_version <> 'aozora_v0'")
+    return {"source_chunks": source, "parsed_chunks": table(spark, sf_dir, "parsed_chunks")}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.records_with_shared_spans(_chunk_tables(spark, sf_dir))
+
+
+def p2_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each chunk stands elsewhere."""
+    return shared_spans.shared_report(_chunk_tables(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes.look_alike_works(table(spark, sf_dir, "canonical_works"))
 
@@ -36,7 +50,7 @@ def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.reparameterised(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_collapsed, p7_found, p7_reparameterised)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p7_found, p7_reparameterised)}
 
 _LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _FIELDS = (
