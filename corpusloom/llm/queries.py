@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import evaluation_leaks as leaks
 from corpusloom.llm import formatting_duplicates as formatting
-from corpusloom.llm import look_alikes, shared_spans
+from corpusloom.llm import look_alikes, shared_spans, source_mixture
 from corpusloom.runtime import table
 
 
@@ -50,7 +50,17 @@ def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.reparameterised(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p7_found, p7_reparameterised)}
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of copies."""
+    return source_mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actual shares of the mixture."""
+    return source_mixture.shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p7_found, p7_reparameterised, p8_mixture, p8_shares)}
 
 _LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _FIELDS = (
