@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import evaluation_leaks as leaks
 from corpusloom.llm import formatting_duplicates as formatting
-from corpusloom.llm import look_alikes, shared_spans, source_mixture
+from corpusloom.llm import look_alikes, shared_spans, source_mixture, wrong_encodings
 from corpusloom.runtime import table
 
 
@@ -42,6 +42,16 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.collapsed(table(spark, sf_dir, "parsed_chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrong_encodings.garbled_records(table(spark, sf_dir, "source_chunks"), table(spark, sf_dir, "work_editions"))
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled texts with their original text, where possible."""
+    records = wrong_encodings.records_of(table(spark, sf_dir, "source_chunks"), table(spark, sf_dir, "work_editions"))
+    return wrong_encodings.garbled(records).distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
 
@@ -60,7 +70,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixture.shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p7_found, p7_reparameterised, p8_mixture, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_reparameterised, p8_mixture, p8_shares)}
 
 _LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _FIELDS = (
