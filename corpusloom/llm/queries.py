@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import evaluation_leaks as leaks
 from corpusloom.llm import formatting_duplicates as formatting
-from corpusloom.llm import look_alikes, shared_spans, source_mixture, wrong_encodings
+from corpusloom.llm import look_alikes, shared_spans, source_mixture, subject_areas, wrong_encodings
 from corpusloom.runtime import table
 
 
@@ -70,7 +70,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixture.shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_reparameterised, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas.subjects_of_documents(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject."""
+    return subject_areas.composition(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_reparameterised, p8_mixture, p8_shares, p9_found, p9_composition)}
 
 _LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _FIELDS = (
