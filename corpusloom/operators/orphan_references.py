@@ -34,39 +34,6 @@ def clean_id(value: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def card_references(cards: DataFrame, name: str, array: str) -> DataFrame:
-    """(card_table, card_id, chunk_id, created_at) once per card and chunk."""
-    return (
-        cards.select("card_id", "created_at", F.explode(F.array_distinct(F.transform(array, clean_id))).alias("chunk_id"))
-        .where("chunk_id is not null and card_id is not null")
-        .groupBy("card_id", "chunk_id")
-        .agg(F.min("created_at").alias("created_at"))
-        .select(F.lit(name).alias("card_table"), "card_id", "chunk_id", "created_at")
-    )
-
-
-def dangling_references(references: DataFrame, chunks: DataFrame, deletions: DataFrame) -> DataFrame:
-    """(card_table, card_id, chunk_id, period, reason) of references that are missing, deleted or late.
-
-    Keys are aggregated before they are shuffled, so a chunk named by a third of all rows costs one row per
-    task; the references to it are one side of a join that adaptive execution splits.
-    """
-    there = chunks.select(clean_id(F.col("chunk_id")).alias("chunk_id"), F.col("created_at").alias("came")).where("chunk_id is not null")
-    there = there.groupBy("chunk_id").agg(F.min("came").alias("came"), F.lit(True).alias("there"))
-    gone = deletions.select(clean_id(F.col("chunk_id")).alias("chunk_id")).where("chunk_id is not null").distinct().withColumn("gone", F.lit(True))
-    reason = (
-        F.when(F.col("there").isNull() & F.col("gone").isNull(), "missing")
-        .when(F.col("there").isNull(), "deleted")
-        .when(F.col("came") > F.col("created_at"), "late")
-    )
-    return (
-        references.join(there, "chunk_id", "left")
-        .join(gone, "chunk_id", "left")
-        .select("card_table", "card_id", "chunk_id", F.date_format("created_at", "yyyy-MM").alias("period"), reason.alias("reason"))
-        .where("reason is not null")
-    )
-
-
 @dataclass(frozen=True)
 class Edge:
     """child.reference (a string or array of strings) names a key of parent."""
@@ -76,40 +43,56 @@ class Edge:
     parent: str
 
 
-def cascade(tables: dict[str, DataFrame], keys: dict[str, str], edges: Sequence[Edge], times: dict[str, str], most_rounds: int = 1000) -> DataFrame:
-    """(table, record_id, period, kind, round, via): every orphaned record, direct (round 0) or inherited.
+@dataclass(frozen=True)
+class Orphans:
+    """references: (table, record_id, parent, ref, via, period, reason), the broken references; records: (table, record_id, period, kind,
+    round, via), every orphaned record, direct (round 0) or inherited."""
 
-    ``times`` names each table's time column for ``period`` (yyyy-MM). A chain of orphans as long as
-    most_rounds is an error, not a cut result; references in a circle end the fixpoint by themselves.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    records, links = {}, []
-    for name, df in tables.items():
-        records[name] = (
-            df.select(clean_id(F.col(keys[name])).alias("record_id"), F.date_format(times[name], "yyyy-MM").alias("period"))
-            .where("record_id is not null")
-            .groupBy("record_id")
-            .agg(F.min("period").alias("period"))
-        )
+    references: DataFrame
+    records: DataFrame
+
+
+def _links(tables: dict[str, DataFrame], keys: dict[str, str], edges: Sequence[Edge]) -> DataFrame:
+    """(table, record_id, parent, ref, via, created_at) of every reference, once per record, parent and key."""
+    out = []
     for e in edges:
         kind = tables[e.child].schema[e.reference].dataType.typeName()
         refs = F.explode(F.col(e.reference)) if kind == "array" else F.col(e.reference)
-        links.append(
-            tables[e.child]
-            .select(clean_id(F.col(keys[e.child])).alias("record_id"), refs.alias("ref"))
-            .select(F.lit(e.child).alias("table"), "record_id", F.lit(e.parent).alias("parent"), clean_id(F.col("ref")).alias("ref"), F.lit(f"{e.child}.{e.reference}").alias("via"))
-            .where("record_id is not null and ref is not null")
-            .distinct()
-        )
-    graph = checkpoint(reduce(DataFrame.unionByName, links))
-    known = reduce(DataFrame.unionByName, [r.select(F.lit(n).alias("parent"), F.col("record_id").alias("ref")) for n, r in records.items()])
-    frontier = checkpoint(
-        graph.join(known, ["parent", "ref"], "left_anti").groupBy("table", "record_id").agg(F.min("via").alias("via")).withColumn("round", F.lit(0))
+        links = tables[e.child].select(clean_id(F.col(keys[e.child])).alias("record_id"), refs.alias("ref"), "created_at")
+        named = links.select(F.lit(e.child).alias("table"), "record_id", F.lit(e.parent).alias("parent"), clean_id(F.col("ref")).alias("ref"), F.lit(f"{e.child}.{e.reference}").alias("via"), "created_at")
+        out.append(named.where("record_id is not null and ref is not null").groupBy("table", "record_id", "parent", "ref", "via").agg(F.min("created_at").alias("created_at")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def cascade(tables: dict[str, DataFrame], keys: dict[str, str], edges: Sequence[Edge], deletions: dict[str, DataFrame] | None = None, most_rounds: int = 1000) -> Orphans:
+    """The orphans of a graph of tables (each with created_at). deletions: a log of deleted keys per parent, under the parent's key name.
+
+    A reference is ``missing`` (no such parent, never deleted), ``deleted`` or ``late`` (the parent came after the child). Late
+    references are reported, but their parent is there, so they orphan nobody. Keys are aggregated before they are shuffled,
+    so a parent named by a third of all rows costs one row per task; the references to it are one side of a join
+    that adaptive execution splits. A chain of orphans longer than most_rounds is an error, not a cut result; references in a
+    circle end the fixpoint by themselves.
+    """
+    known = reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(n).alias("parent"), clean_id(F.col(keys[n])).alias("ref"), F.col("created_at").alias("came")).where("ref is not null").groupBy("parent", "ref").agg(F.min("came").alias("came")) for n, df in tables.items()],
     )
+    gone = None
+    for parent, log in (deletions or {}).items():
+        one = log.select(F.lit(parent).alias("parent"), clean_id(F.col(keys[parent])).alias("ref")).where("ref is not null").distinct()
+        gone = one if gone is None else gone.unionByName(one)
+    graph = checkpoint(_links(tables, keys, edges))
+    checked = graph.join(known.withColumn("there", F.lit(True)), ["parent", "ref"], "left")
+    checked = checked.join(gone.withColumn("gone", F.lit(True)), ["parent", "ref"], "left") if gone is not None else checked.withColumn("gone", F.lit(None).cast("boolean"))
+    reason = (
+        F.when(F.col("there").isNull() & F.col("gone").isNull(), "missing")
+        .when(F.col("there").isNull(), "deleted")
+        .when(F.col("came") > F.col("created_at"), "late")
+    )
+    broken = checkpoint(checked.select("table", "record_id", "parent", "ref", "via", F.date_format("created_at", "yyyy-MM").alias("period"), reason.alias("reason")).where("reason is not null"))
+    frontier = broken.where("reason <> 'late'").groupBy("table", "record_id").agg(F.min("via").alias("via")).withColumn("round", F.lit(0))
     found = frontier
-    for round_no in range(1, most_rounds + 1):
-        if frontier.isEmpty():
-            break
+    for round_no in range(1, most_rounds + 2):
         heads = frontier.select(F.col("table").alias("parent"), F.col("record_id").alias("ref"))
         frontier = checkpoint(
             graph.join(heads, ["parent", "ref"], "left_semi")
@@ -118,17 +101,16 @@ def cascade(tables: dict[str, DataFrame], keys: dict[str, str], edges: Sequence[
             .agg(F.min("via").alias("via"))
             .withColumn("round", F.lit(round_no))
         )
-        found = found.unionByName(frontier)
-    else:
-        if not frontier.isEmpty():
+        if frontier.isEmpty():
+            break
+        if round_no > most_rounds:
             raise ValueError(f"orphans hang more than {most_rounds} levels deep")
-    every = reduce(DataFrame.unionByName, [r.withColumn("table", F.lit(n)) for n, r in records.items()])
-    return (
-        found.join(every, ["table", "record_id"], "left")
-        .select("table", "record_id", "period", F.when(F.col("round") == 0, "direct").otherwise("inherited").alias("kind"), "round", "via")
-    )
+        found = found.unionByName(frontier)
+    periods = known.select(F.col("parent").alias("table"), F.col("ref").alias("record_id"), F.date_format("came", "yyyy-MM").alias("period"))
+    kind = F.when(F.col("round") == 0, "direct").otherwise("inherited").alias("kind")
+    return Orphans(broken, found.join(periods, ["table", "record_id"], "left").select("table", "record_id", "period", kind, "round", "via"))
 
 
-def cascade_report(orphans: DataFrame) -> DataFrame:
+def cascade_report(orphans: Orphans) -> DataFrame:
     """Direct and inherited orphans per table and period."""
-    return orphans.groupBy("table", "period", "kind").agg(F.count("*").alias("records"))
+    return orphans.records.groupBy("table", "period", "kind").agg(F.count("*").alias("records"))

@@ -23,21 +23,6 @@ def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).groupBy("record_table", "snapshot_no", "change_type").agg(F.count("*").alias("records"))
 
 
-def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thought = orphans.card_references(table(spark, sf_dir, "thought_cards"), "thought_cards", "representative_chunk_ids")
-    creative = orphans.card_references(table(spark, sf_dir, "creative_cards"), "creative_cards", "evidence_chunk_ids")
-    return thought.unionByName(creative)
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.dangling_references(_references(spark, sf_dir), table(spark, sf_dir, "source_chunks"), table(spark, sf_dir, "chunk_deletions"))
-
-
-def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = p4_found(spark, sf_dir)
-    return found.groupBy("card_table", "period", "reason").agg(F.count("*").alias("references"), F.countDistinct("card_id").alias("cards"))
-
-
 EDGES = [
     orphans.Edge("work_editions", "canonical_work_id", "canonical_works"),
     orphans.Edge("work_editions", "duplicate_of", "work_editions"),
@@ -56,10 +41,22 @@ KEYS = {
 }
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("source_chunks", "thought_cards", "creative_cards")
+    tables = {name: table(spark, sf_dir, name) for name in names}
+    edges = [e for e in EDGES if e.child in names[1:]]
+    found = orphans.cascade(tables, KEYS, edges, {"source_chunks": table(spark, sf_dir, "chunk_deletions")}).references
+    return found.select(F.col("table").alias("card_table"), F.col("record_id").alias("card_id"), F.col("ref").alias("chunk_id"), "period", "reason")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p4_found(spark, sf_dir)
+    return found.groupBy("card_table", "period", "reason").agg(F.count("*").alias("references"), F.countDistinct("card_id").alias("cards"))
+
+
 def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {name: table(spark, sf_dir, name) for name in KEYS}
-    found = orphans.cascade(tables, KEYS, EDGES, dict.fromkeys(KEYS, "created_at"))
-    return orphans.cascade_report(found)
+    return orphans.cascade_report(orphans.cascade(tables, KEYS, EDGES))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_totals, p4_found, p4_report, p4_cascade)}
