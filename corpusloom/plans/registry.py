@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import problems
+from corpusloom.plans import problems, reference
 
-MODULES = [problems]
+MODULES = [problems, reference]
 
 
 def queries() -> dict:
