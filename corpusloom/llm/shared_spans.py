@@ -99,7 +99,7 @@ def _candidates(batches: Iterator[pd.DataFrame], words: np.ndarray) -> Iterator[
                 "rid": pdf["rid"].to_numpy()[w.text[kept]],
                 "content": w.content[kept].astype(np.int64),
                 "start": w.start[kept].astype(np.int32),
-                "hashes": w.span_hashes(kept) if len(kept) else [],
+                "hashes": pd.Series(w.span_hashes(kept) if len(kept) else [], dtype=object),
             }
         )
 

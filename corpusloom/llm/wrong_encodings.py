@@ -43,11 +43,14 @@ SWAPS = [
 STRANGE = -8.0
 RESTORED = -10.0
 NEVER = -20.0
+UNLIKELY = -6.0  # further cost of a strange character in what is restored
 LEAST = {"utf-8": 6.0, "cp932": 10.0, "euc_jp": 10.0}
 ROUNDS = 3
 EM_STEPS = 12
+LEAST_SEEN, SURE = 5.0, 0.5  # a byte is learned for a symbol seen so often, and so surely
 
-USUAL = re.compile(r"[\x00-\x7f\u3000-\u303fぁ-ヿ一-鿿！（），．：；？［］＿｜“”‘’«»…―—–─・éèêàçùîôâûëïüœæÉÀÈÇÊŒÂÎÔ\xa0]*")
+USUAL = re.compile(r"[\x00-\x7f\u3000-\u303fぁ-ヿ一-鿿！（），．：；？［］＿｜－／０-９Ａ-Ｚａ-ｚ“”‘’«»…―—–─・éèêàçùîôâûëïüœæÉÀÈÇÊŒÂÎÔ\xa0]*")
+UNUSUAL = re.compile("[^" + USUAL.pattern[1:-1])
 #: Usual characters in places where only a wrong decoding puts them: kanji inside a Latin word, seven-bit kana.
 MISPLACED = re.compile(r"[A-Za-z][一-鿿]|[一-鿿][a-z]|[$%][!-~][^\n]{0,40}[$%][!-~]")
 UTF8 = re.compile(r"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
@@ -153,6 +156,8 @@ def decipher(text: str, swap: tuple[str, str], mapping: dict[int, int] | None =
 
     def put(start: int, end: int, fixed: str) -> None:
         nonlocal last
+        if USUAL.fullmatch(text, start, end) and not USUAL.fullmatch(fixed):
+            return
         out.extend((text[last:start], fixed))
         left, right = text[max(0, start - 1) : start], text[end : end + 1]
         changes.append((left + text[start:end] + right, left + fixed + right))
@@ -188,7 +193,8 @@ def decipher(text: str, swap: tuple[str, str], mapping: dict[int, int] | None =
 
 def gain_of(changes: list[tuple[str, str]], language: Language) -> float:
     before, after = "\n".join(x for x, _ in changes), "\n".join(x for _, x in changes)
-    return language.score(after, RESTORED) - language.score(before)
+    strange = len(UNUSUAL.findall(after))
+    return language.score(after, RESTORED) - language.score(before) + UNLIKELY * strange
 
 
 def likely_swaps(text: str, maps: dict, swaps: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -224,6 +230,8 @@ def restore(text: str, language: Language, maps=None, swaps=None) -> tuple[str,
     undone, total = [], 0.0
     lost = text.count("\ufffd")
     for _ in range(1 if lost else ROUNDS):
+        if undone and not suspicious(text):
+            break
         text, swap, gain = best_swap(text, language, maps, swaps)
         if swap is None:
             break
@@ -238,32 +246,32 @@ def restore(text: str, language: Language, maps=None, swaps=None) -> tuple[str,
 
 def learn_mapping(pairs: pd.DataFrame, swap: tuple[str, str], language_counts: np.ndarray) -> dict[int, int]:
     """Symbol to byte by EM: pairs are (first, second, n) symbol bigrams, code points below 128 being themselves."""
-    logs = np.exp(log_probabilities(language_counts))
+    joint = np.exp(log_probabilities(language_counts)) * (language_counts.reshape(256, 256).sum(axis=1, keepdims=True) + 1.0)
+    joint /= joint.sum()
     symbols = sorted({*pairs["first"], *pairs["second"]})
     number = {s: k for k, s in enumerate(symbols)}
-    theta = np.zeros((len(symbols), 256))
     table = page_mapping(swap[0])
+    # emit[s, b]: how likely byte b shows as symbol s.
+    emit = np.zeros((len(symbols), 256))
     for s, k in number.items():
         if s < 0x80:
-            theta[k, s] = 1
+            emit[k, s] = 1
         else:
-            theta[k, 0x80:] = 0.02 / 128
+            emit[k, 0x80:] = 0.02
             if s in table:
-                theta[k, table[s]] += 0.98
-            theta[k] /= theta[k].sum()
+                emit[k, table[s]] = 1
     n = np.zeros((len(symbols), len(symbols)))
     np.add.at(n, (pairs["first"].map(number), pairs["second"].map(number)), pairs["n"])
-    fixed = np.array([s < 0x80 for s in symbols])
+    expected = emit
     for _ in range(EM_STEPS):
-        after = logs @ theta.T
-        before = theta @ logs
-        z = np.maximum(theta @ after, 1e-300)
-        ratio = n / z
-        new = theta * (ratio @ after.T + ratio.T @ before)
-        total = new.sum(axis=1, keepdims=True)
-        new = np.where(total > 0, new / np.maximum(total, 1e-300), theta)
-        theta = np.where(fixed[:, None], theta, new)
-    return {s: int(theta[k].argmax()) for s, k in number.items() if s >= 0x80}
+        emit = emit / np.maximum(emit.sum(axis=0), 1e-300)
+        after, before = joint @ emit.T, emit @ joint
+        ratio = n / np.maximum(emit @ after, 1e-300)
+        expected = emit * (ratio @ after.T + ratio.T @ before)
+        emit = expected
+    total = expected.sum(axis=1)
+    sure = (total >= LEAST_SEEN) & (expected.max(axis=1) >= SURE * total)
+    return {s: int(expected[k].argmax()) for s, k in number.items() if s >= 0x80 and sure[k]}
 
 
 # Spark
@@ -296,8 +304,16 @@ def _expect(batches: Iterator[pd.DataFrame], language: Language) -> Iterator[pd.
         for source, text in zip(pdf["source"], pdf["text"]):
             _, swap, _ = best_swap(text, language)
             if swap is not None and swap[0] in BYTE_PAGES:
-                for a, b in zip(text, text[1:]):
-                    if a >= "\x80" or b >= "\x80":
+                # Every swap of a source is known by one pair at least; of texts garbled twice the bytes are no language.
+                mark = (source, ">".join(swap), 10, 10)
+                sums[mark] = sums.get(mark, 0) + 1
+                if suspicious(decipher(text, swap)[0]):
+                    continue
+                # Symbols are the page's and strange ones; other characters of a text that is garbled in part are none.
+                table = page_mapping(swap[0])
+                symbol = [c < "\x80" or ord(c) in table or not USUAL.fullmatch(c) for c in text]
+                for a, b, one, two in zip(text, text[1:], symbol, symbol[1:]):
+                    if one and two and (a >= "\x80" or b >= "\x80"):
                         key = (source, ">".join(swap), ord(a), ord(b))
                         sums[key] = sums.get(key, 0) + 1
     yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["source", "swap", "first", "second", "n"])
@@ -326,10 +342,11 @@ def _decide(batches: Iterator[pd.DataFrame], language: Language) -> Iterator[pd.
 def garbled(records: DataFrame) -> DataFrame:
     """(record_table, record_id, swaps, gain, restored) of garbled records; records has record_table, record_id, source, text."""
     spark = records.sparkSession
-    counts = language_counts(records)
+    counts = language_counts(records.where("text is not null"))
     language = Language(counts["utf-8"])
     shared = spark.sparkContext.broadcast((language, counts))
     odd = F.pandas_udf(lambda s: s.map(suspicious).astype(bool), "boolean")
+    records = records.select("record_table", "record_id", "source", "text")
     doubtful = records.where("record_id is not null and text is not null").where(odd("text")).withColumn("source", F.coalesce("source", F.lit("")))
     pairs = doubtful.select("source", "text").mapInPandas(lambda it: _expect(it, shared.value[0]), "source string, swap string, first long, second long, n long")
     learned = (
