@@ -39,6 +39,14 @@ NOT_LETTER = re.compile(r"[\W_]+")
 UNITS = "円 銭 年 月 日 時 分 秒 人 個 枚 冊 里 町 間 尺 寸 貫 匁 km cm mm kg g m l percent yen dollars francs years days hours minutes".split()
 
 
+SLOT = re.compile(
+    r"(?P<number>[0-9][0-9,.]*)(?:\s*(?P<unit>" + "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True)) + r")(?![a-z]))?"
+    r"|(?P<name>[ァ-ヺ][ァ-ー]+|(?<=[^\s.!?。！？“\"]\s)[A-Z][a-zà-ÿ]+)"
+)
+#: Letters that no text here uses, one for each kind of slot.
+SLOT_MARKS = {"number": "\ua000", "unit": "\ua001", "name": "\ua002"}
+
+
 def canonical(text: str | None) -> str:
     """The letters and digits of a text in half width and lower case, without ruby readings and notes."""
     if not text:
@@ -172,17 +180,28 @@ def leaks(items: DataFrame, documents: DataFrame) -> DataFrame:
     return leaked_runs(items, documents).where("covered * 2 >= length").select("item_id", "doc_id").distinct()
 
 
-def collapse(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """The template of a canonical text with one placeholder per number with unit and per foreign name, and its slots (position, value)."""
+def collapse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
+    """The letters and digits of a text with one placeholder per number, unit and name, and these slots (position, value).
+
+    Names are runs of katakana, and capitalised words that don't begin a sentence.
+    """
+    text = unicodedata.normalize("NFKC", RUBY_OR_NOTE.sub("", text or ""))
     out, slots, last, size = [], [], 0, 0
-    for m in re.finditer(r"[0-9]+|[ァ-ヺ][ァ-ー]+", text):
-        piece = text[last : m.start()]
-        out += [piece, "0" if m[0][0].isdigit() else "ア"]
+
+    def put(piece: str) -> None:
+        nonlocal size
+        out.append(piece)
         size += len(piece)
-        slots.append((size, m[0]))
-        size += 1
+
+    for m in SLOT.finditer(text):
+        put(NOT_LETTER.sub("", text[last : m.start()]).casefold())
+        for kind, mark in SLOT_MARKS.items():
+            if m[kind]:
+                slots.append((size, m[kind].casefold()))
+                put(mark)
         last = m.end()
-    return "".join(out) + text[last:], slots
+    put(NOT_LETTER.sub("", text[last:]).casefold())
+    return "".join(out), slots
 
 
 def consistent(item: list[tuple[int, str]], doc: list[tuple[int, str]], shifts: set[int]) -> int:
@@ -199,16 +218,15 @@ def consistent(item: list[tuple[int, str]], doc: list[tuple[int, str]], shifts:
 
 
 def _reworded(batches: Iterator[pd.DataFrame], block: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
-    item_templates = [collapse(canonical(t)) for _, t in block]
-    items = _items([])
+    item_templates = [collapse(t) for _, t in block]
     b = Batch([t for t, _ in item_templates])
     order = np.argsort(b.template, kind="stable")
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[(b.template & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-    items |= {"template": b.template[order], "item": b.text[order], "position": b.position[order], "bitmap": bitmap}
+    items = {"template": b.template[order], "item": b.text[order], "position": b.position[order], "bitmap": bitmap}
     n = len(block)
     for pdf in batches:
-        doc_templates = [collapse(canonical(t)) for t in pdf["text"]]
+        doc_templates = [collapse(t) for t in pdf["text"]]
         docs = Batch([t for t, _ in doc_templates])
         d, i = _matches(docs, items)
         pairs, covered = _pair_cover(docs, items, d, i, n)

@@ -44,7 +44,7 @@ STRANGE = -8.0
 RESTORED = -10.0
 NEVER = -20.0
 UNLIKELY = -6.0  # further cost of a strange character in what is restored
-LEAST = {"utf-8": 6.0, "cp932": 10.0, "euc_jp": 10.0}
+LEAST = {"utf-8": 4.0, "cp932": 10.0, "euc_jp": 10.0}
 ROUNDS = 3
 EM_STEPS = 12
 LEAST_SEEN, SURE = 5.0, 0.5  # a byte is learned for a symbol seen so often, and so surely

@@ -55,6 +55,13 @@ def test_reparameterised_questions_need_consistent_slots(spark):
     assert got == {(1, 1)}
 
 
+def test_names_and_units_are_slots():
+    a, slots = E.collapse("Then Alice bought 12 km of rope for Bob.")
+    b, others = E.collapse("Then Carol bought 7 miles of rope for Dan.")
+    assert [v for _, v in slots] == ["alice", "12", "km", "bob"] and a.startswith("then\ua002bought\ua000\ua001of")
+    assert E.collapse(None) == ("", []) and [v for _, v in others] == ["carol", "7", "dan"]
+
+
 def test_empty_tables_and_long_document(spark):
     items, docs = frames(spark, [(1, "あ" * 10 + "いろはにほへとちりぬるをわかよたれそつね")], [(1, "い" * 400_000 + "いろはにほへとちりぬるをわかよたれそつね")])
     assert E.leaks(items.where("false"), docs).count() == 0 and E.leaks(items, docs.where("false")).count() == 0
