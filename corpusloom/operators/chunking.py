@@ -130,3 +130,49 @@ def budget_prefix(lines: DataFrame, group: list[str], order: list[str], block: C
     """The lines of each group up to the first that would go over the budget of characters (a prefix, no filter)."""
     summed = running_totals(lines.withColumn("_size", F.length("text") + 1), group, order, block, ["_size"])
     return summed.withColumnRenamed("_size_total", "used").where(F.col("used") <= most).drop("_size")
+
+
+def _paragraphs(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            at = number = 0
+            for line in text.split("\n"):
+                bare = line.strip()
+                start = at + line.find(bare) if bare else at
+                for part in pieces(bare, most):
+                    number += 1
+                    rows.append((doc, number, start, start + len(part), "dialogue" if part[0] in "「『" else "narration", part))
+                    start += len(part)
+                at += len(line) + 1
+        yield pd.DataFrame(rows, columns=["doc_id", "number", "char_start", "char_end", "kind", "text"])
+
+
+def paragraph_chunks(documents: DataFrame, most: int = 800) -> DataFrame:
+    """(doc_id, number, char_start, char_end, kind, text): paragraphs, cut at ends of sentences only if over ``most``.
+
+    A chunk is the text from char_start to char_end of its document, character by character.
+    """
+    rows = documents.select("doc_id", "text").where("text is not null")
+    return rows.mapInPandas(lambda it: _paragraphs(it, most), "doc_id long, number int, char_start int, char_end int, kind string, text string")
+
+
+def as_of(left: DataFrame, right: DataFrame, group: str, at: str, value: str, block: int) -> DataFrame:
+    """left with the value of the right row of its group with the greatest ``at`` not above its own (of equal ones the greatest value;
+    right rows without value are none).
+
+    Positions are cut into blocks; a window sees the rows of one block, or one row per block of a group, so a group may hold a large
+    part of all rows. Rows of null group or position get null.
+    """
+    number = F.floor(F.col(at) / block)
+    right = right.where(F.col(group).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(group, at).agg(F.max(value).alias("_value"))
+    both = left.withColumn("_value", F.lit(None).cast(right.schema["_value"].dataType)).withColumn("_left", F.lit(True))
+    rows = both.unionByName(right.withColumn("_left", F.lit(False)), allowMissingColumns=True).withColumn("_block", number)
+    lasts = right.withColumn("_block", number).groupBy(group, "_block").agg(F.max(F.struct(at, "_value"))["_value"].alias("_last"))
+    # Every block that has left rows needs the last value of any block before it.
+    places = rows.select(group, "_block").distinct().join(lasts, [group, "_block"], "left")
+    order = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = places.select(group, "_block", F.last("_last", ignorenulls=True).over(order).alias("_before"))
+    own = Window.partitionBy(group, "_block").orderBy(F.col(at), F.col("_left")).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.join(before, [group, "_block"], "left").withColumn(f"{value}_at", F.coalesce(F.last("_value", ignorenulls=True).over(own), "_before"))
+    return found.where("_left").drop("_left", "_value", "_before", "_block")

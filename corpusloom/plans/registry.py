@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import problems, reference
+from corpusloom.plans import problems, reference, reference_more
 
-MODULES = [problems, reference]
+MODULES = [problems, reference, reference_more]
 
 
 def queries() -> dict:

@@ -99,6 +99,25 @@ def test_running_totals_by_blocks(spark):
     assert got == {(g, i): sum(v for h, j, v in rows if h == g and j <= i) for g, i, _ in rows}
 
 
+def test_as_of_against_brute_force(spark):
+    random.seed(8)
+    left = [(f"l{k}", random.choice("gh"), random.randint(0, 300)) for k in range(60)] + [("n", None, 5), ("m", "g", None)]
+    right = [(random.choice("gh"), random.randint(0, 300), random.choice([1, 2, 3, None])) for _ in range(40)] + [(None, 1, 9), ("g", None, 9)]
+    got = chunking.as_of(spark.createDataFrame(left, "id string, g string, at int"), spark.createDataFrame(right, "g string, at int, page int"), "g", "at", "page", 25)
+    want = {i: max(((a, p) for h, a, p in right if h == g and None not in (a, at, p) and a <= at), default=(0, None))[1] for i, g, at in left}
+    assert {r.id: r.page_at for r in got.collect()} == want
+
+
+def test_paragraph_chunks_are_slices_of_their_text(spark):
+    random.seed(9)
+    texts = {k: "".join(random.choice("あい。「」\n　 ") for _ in range(random.randint(0, 3000))) for k in range(20)}
+    docs = spark.createDataFrame([*texts.items(), (99, None)], "doc_id long, text string")
+    rows = chunking.paragraph_chunks(docs, 50).collect()
+    assert rows and all(texts[r.doc_id][r.char_start : r.char_end] == r.text for r in rows)
+    for k, t in texts.items():
+        assert "".join(r.text for r in sorted(rows, key=lambda r: r.number) if r.doc_id == k) == "".join(x.strip() for x in t.split("\n"))
+
+
 def test_mutations(spark):
     old = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y"), ("n", None, "z")], "k string, h string, keep string")
     new = spark.createDataFrame([("b", "3"), ("c", "4"), ("n", None)], "k string, h string")
