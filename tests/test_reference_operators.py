@@ -104,7 +104,7 @@ def test_as_of_against_brute_force(spark):
     left = [(f"l{k}", random.choice("gh"), random.randint(0, 300)) for k in range(60)] + [("n", None, 5), ("m", "g", None)]
     right = [(random.choice("gh"), random.randint(0, 300), random.choice([1, 2, 3, None])) for _ in range(40)] + [(None, 1, 9), ("g", None, 9)]
     got = chunking.as_of(spark.createDataFrame(left, "id string, g string, at int"), spark.createDataFrame(right, "g string, at int, page int"), "g", "at", "page", 25)
-    want = {i: max(((a, p) for h, a, p in right if h == g and None not in (a, at, p) and a <= at), default=(0, None))[1] for i, g, at in left}
+    want = {i: max(((a, p) for h, a, p in right if h == g and None not in (g, a, at, p) and a <= at), default=(0, None))[1] for i, g, at in left}
     assert {r.id: r.page_at for r in got.collect()} == want
 
 
