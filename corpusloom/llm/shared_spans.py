@@ -7,8 +7,8 @@ character. A span that stands in two records has the same minimum in both, so it
 signature: one hash already loses nothing, and no number of further hashes could add to it.
 
 1. Signatures that occur in two or more records are counted (partial counts per task, so a signature of a third of
-   all rows costs one row a task). They go to the tasks as a bitmap of fixed size, which may let a window through but
-   never holds one back.
+   all rows costs one row a task). Up to MOST_IN_BITMAP of them go to the tasks as a bitmap of fixed size, which may let a
+   window through but never holds one back; more of them are joined with the windows instead.
 2. The remaining windows are grouped by their whole content: copies of a passage fall together, whatever
    their number, without meeting each other.
 3. Distinct windows are verified: each of their spans, by a 64-bit hash, is joined with the interval of
@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.hashing import Grams, code_points
-from corpusloom.runtime import checkpoint
+from corpusloom.runtime import checkpoint, small_enough
 
 SPAN = 60
 GRAM = 24
 BITMAP_BITS = 25  # 4 MB, whatever the size of the data
+MOST_IN_BITMAP = 1 << 23  # then one window in five passes by chance
 BLOCK = 1 << 18
 
 
@@ -88,15 +89,18 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.drop_duplicates()
 
 
-def _candidates(batches: Iterator[pd.DataFrame], words: np.ndarray) -> Iterator[pd.DataFrame]:
+def _candidates(batches: Iterator[pd.DataFrame], words: np.ndarray | None) -> Iterator[pd.DataFrame]:
     mask = np.uint64((1 << BITMAP_BITS) - 1)
     for pdf in batches:
         w = CompactWindows(pdf["text"].tolist())
-        bit = w.signature & mask
-        kept = np.flatnonzero((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+        kept = np.arange(len(w.text))
+        if words is not None:
+            bit = w.signature & mask
+            kept = np.flatnonzero((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
         yield pd.DataFrame(
             {
                 "rid": pdf["rid"].to_numpy()[w.text[kept]],
+                "signature": w.signature[kept].astype(np.int64),
                 "content": w.content[kept].astype(np.int64),
                 "start": w.start[kept].astype(np.int32),
                 "hashes": pd.Series(w.span_hashes(kept) if len(kept) else [], dtype=object),
@@ -107,7 +111,7 @@ def _candidates(batches: Iterator[pd.DataFrame], words: np.ndarray) -> Iterator[
 def _bitmap(shared: DataFrame) -> np.ndarray:
     """The low bits of the signatures as 64-bit words; at most 2^(BITMAP_BITS-6) rows come to the driver."""
     bit = F.col("signature").bitwiseAND((1 << BITMAP_BITS) - 1)
-    words = shared.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(signature & 63 as int))").alias("bits"))
+    words = shared.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(signature & 63 as int))").alias("bits"))
     rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint64)
@@ -128,8 +132,13 @@ def shared_windows(tables: list[DataFrame]) -> DataFrame:
     two = (F.col("low") < F.col("high"),)
     agg = [F.min("rid").alias("low"), F.max("rid").alias("high")]
     signatures = texts.mapInPandas(_signatures, "signature long, rid long")
-    words = texts.sparkSession.sparkContext.broadcast(_bitmap(signatures.groupBy("signature").agg(*agg).where(*two)))
-    candidates = checkpoint(texts.mapInPandas(lambda it: _candidates(it, words.value), "rid long, content long, start int, hashes array<long>"))
+    repeated = checkpoint(signatures.groupBy("signature").agg(*agg).where(*two).select("signature"))
+    few = small_enough(repeated, MOST_IN_BITMAP)
+    words = texts.sparkSession.sparkContext.broadcast(_bitmap(repeated) if few else None)
+    candidates = texts.mapInPandas(lambda it: _candidates(it, words.value), "rid long, signature long, content long, start int, hashes array<long>")
+    if not few:
+        candidates = candidates.join(repeated, "signature", "left_semi")
+    candidates = checkpoint(candidates.drop("signature"))
     windows = candidates.groupBy("content").agg(*agg, F.any_value("hashes").alias("hashes"))
     spans = windows.select("content", "low", "high", F.posexplode("hashes").alias("at", "span"))
     shared = spans.groupBy("span").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(*two).select("span")

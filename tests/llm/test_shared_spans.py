@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from corpusloom.llm import shared_spans as S
 
 SCHEMA = "chunk_id string, text string, rid string, content string"
@@ -28,7 +30,9 @@ def run(spark, tables):
     return got
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [S.MOST_IN_BITMAP, 3])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST_IN_BITMAP", most)
     random.seed(4)
     word = lambda n: "".join(random.choice("あいうえおかきくけこ\nab") for _ in range(n))
     passages = [word(n) for n in (58, 59, 60, 61, 90, 400)]
