@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import strip
 
 LEAST, MOST, SMALL = 600, 1500, 200
-SENTENCE = re.compile("(?<=[。！？!?])")
-HEADING = re.compile(r"^(#{1,2})\s*(.+)$")
+#: Sentences of books end here; those of paragraph chunks at full-width marks, too, with the brackets that close them.
+SENTENCE = re.compile("[^。!?]*[。!?]|[^。!?]+")
+CLOSED_SENTENCE = re.compile("[^。！？!?]*[。！？!?][」』）)]*|[^。！？!?]+")
+HEADING = re.compile(r"^(##?) (.*)$")
 
 
-def pieces(paragraph: str, most: int) -> list[str]:
+def pieces(paragraph: str, most: int, sentence: re.Pattern = SENTENCE) -> list[str]:
     """A paragraph in parts of at most ``most`` characters, cut at ends of sentences."""
     out = [""]
-    for s in SENTENCE.split(paragraph) if len(paragraph) > most else [paragraph]:
+    for s in sentence.findall(paragraph) if len(paragraph) > most else [paragraph]:
         if out[-1] and len(out[-1]) + len(s) > most:
             out.append("")
         out[-1] += s
@@ -49,42 +51,46 @@ def packed(paragraphs: list[str], least: int = LEAST, most: int = MOST) -> list[
     return chunks + (["\n".join(buffer)] if buffer else [])
 
 
-def merged_small(chunks: list[str], small: int = SMALL) -> list[str]:
-    """Chunks under ``small`` characters joined to the one before."""
-    out: list[str] = []
-    for c in chunks:
-        if out and len(c) < small:
-            out[-1] += "\n" + c
+def sections(text: str) -> list[tuple[int, str | None, str | None, str]]:
+    """(chapter, its title, section title, body): a line ``# …`` begins a chapter, ``## …`` a section of it."""
+    out: list[tuple[int, str | None, str | None, list[str]]] = [(0, None, None, [])]
+    for line in map(str.strip, text.split("\n")):
+        chapter, title, _, lines = out[-1]
+        if not (m := HEADING.match(line)):
+            lines.append(line)
+        elif m[1] == "#":
+            out.append((chapter + 1, m[2].strip(), None, []))
         else:
-            out.append(c)
+            out.append((chapter, title, m[2].strip(), []))
+    return [(c, t, s, "\n".join(lines).strip()) for c, t, s, lines in out]
+
+
+def chunked_book(text: str, small: int = SMALL) -> list[tuple[int, int, str | None, str | None, str]]:
+    """(chapter, number, title, section, text): sections are packed each for itself and numbered within their chapter; then a chunk
+    under ``small`` characters joins the one before it in its chapter, and its number stays unused."""
+    out: list[tuple[int, int, str | None, str | None, str]] = []
+    used: dict[int, int] = {}
+    for chapter, title, section, body in sections(text):
+        paragraphs = [p.strip().replace("\n", "") for p in body.split("\n\n")]
+        for chunk in packed([p for p in paragraphs if p]):
+            used[chapter] = used.get(chapter, 0) + 1
+            if out and len(chunk) < small and out[-1][0] == chapter:
+                out[-1] = (*out[-1][:4], out[-1][4] + "\n" + chunk)
+            else:
+                out.append((chapter, used[chapter], title, section, chunk))
     return out
 
 
-def _chapters(text: str) -> list[tuple[str | None, str]]:
-    out: list[tuple[str | None, list[str]]] = [(None, [])]
-    for line in text.split("\n"):
-        if m := HEADING.match(line.strip()):
-            out.append((m[2].strip(), []))
-        else:
-            out[-1][1].append(line)
-    return [(t, "\n".join(x)) for t, x in out]
-
-
 def _book(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            for chapter, (title, body) in enumerate(_chapters(text)):
-                paragraphs = [p.strip().replace("\n", "") for p in re.split(r"\n\s*\n", body)]
-                for n, chunk in enumerate(merged_small(packed([p for p in paragraphs if p]))):
-                    rows.append((doc, chapter, title, n + 1, chunk))
-        yield pd.DataFrame(rows, columns=["doc_id", "chapter", "title", "number", "text"])
+        rows = [(doc, *chunk) for doc, text in zip(pdf["doc_id"], pdf["text"]) for chunk in chunked_book(text)]
+        yield pd.DataFrame(rows, columns=["doc_id", "chapter", "number", "title", "section", "text"])
 
 
 def book_chunks(documents: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, chapter, title, number, text, chunk_hash) of texts with # headings."""
+    """(chunk_id, doc_id, chapter, number, title, section, text, chunk_hash) of texts with # headings."""
     rows = documents.select("doc_id", "text").where("text is not null")
-    chunks = rows.mapInPandas(_book, "doc_id long, chapter int, title string, number int, text string")
+    chunks = rows.mapInPandas(_book, "doc_id long, chapter int, number int, title string, section string, text string")
     name = F.format_string("%d_CH%02d_%03d", "doc_id", "chapter", "number")
     return chunks.select(name.alias("chunk_id"), "*", F.sha2("text", 256).alias("chunk_hash"))
 
@@ -140,7 +146,7 @@ def _paragraphs(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataF
             for line in text.split("\n"):
                 bare = line.strip()
                 start = at + line.find(bare) if bare else at
-                for part in pieces(bare, most):
+                for part in pieces(bare, most, CLOSED_SENTENCE):
                     number += 1
                     rows.append((doc, number, start, start + len(part), "dialogue" if part[0] in "「『" else "narration", part))
                     start += len(part)

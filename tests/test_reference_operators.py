@@ -78,18 +78,23 @@ def test_search_needs_every_term(spark):
 def test_packing_keeps_text_and_bounds():
     random.seed(2)
     for _ in range(50):
-        paragraphs = ["".join(random.choice("あいう。") for _ in range(random.randint(1, 4000))) for _ in range(random.randint(0, 8))]
+        paragraphs = ["".join(random.choice("あいう。！") for _ in range(random.randint(1, 4000))) for _ in range(random.randint(0, 8))]
         chunks = chunking.packed(paragraphs)
         assert "".join(chunks).replace("\n", "") == "".join(paragraphs)
-        longest = max((len(s) for p in paragraphs for s in chunking.SENTENCE.split(p)), default=0)
+        longest = max((len(s) for p in paragraphs for s in chunking.SENTENCE.findall(p)), default=0)
         assert all(len(c) <= chunking.MOST + max(100, longest) for c in chunks)
-        assert "".join(chunking.merged_small(chunks)).replace("\n", "") == "".join(paragraphs)
-    assert chunking.packed([]) == [] and chunking.merged_small(["x", "y"]) == ["x\ny"]
+        assert all(len(c) >= chunking.LEAST or k == len(chunks) - 1 or len(c) + len(chunks[k + 1]) > chunking.LEAST for k, c in enumerate(chunks))
+    assert chunking.packed([]) == []
+    assert chunking.pieces("い。う！え」お", 2) == ["い。", "う！え」お"] and chunking.pieces("い。」う！", 3, chunking.CLOSED_SENTENCE) == ["い。」", "う！"]
 
 
 def test_book_chunks_are_numbered_by_chapter(spark):
-    docs = spark.createDataFrame([(1, "# One\n\n" + "あ" * 700 + "\n\n# Two\n\nい。"), (2, None), (3, "")], "doc_id long, text string")
-    assert [(r.chunk_id, r.title, len(r.text)) for r in chunking.book_chunks(docs).orderBy("chunk_id").collect()] == [("1_CH01_001", "One", 700), ("1_CH02_001", "Two", 2)]
+    text = "はしがき。\n# One\n\n" + "あ" * 700 + "\n\n## Part\n" + "い" * 300 + "\n\n短い。\n# Two\nう。\n## Part\nえ\nお。\n" + "か" * 600
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = [(r.chunk_id, r.title, r.section, len(r.text)) for r in chunking.book_chunks(docs).orderBy("chunk_id").collect()]
+    assert got == [("1_CH00_001", None, None, 5), ("1_CH01_001", "One", None, 700), ("1_CH01_002", "One", "Part", 304), ("1_CH02_001", "Two", None, 2), ("1_CH02_002", "Two", "Part", 603)]
+    small = chunking.chunked_book("# A\n" + "あ" * 700 + "\n## B\nい。\n## C\n" + "う" * 250)
+    assert [(c, n, len(t)) for c, n, _, _, t in small] == [(1, 1, 703), (1, 3, 250)]
 
 
 def test_running_totals_by_blocks(spark):
