@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +97,65 @@ with c as (
 ), k as (select distinct id, q, canon from c where length(replace(canon, chr(10), '')) >= 30),
 g as (select id, min(id) over (partition by q, canon) as kept_id from k)
 """
+# Width is all that compatibility composition changes in letters and digits here; DuckDB has canonical composition only.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def _canonical(column: str) -> str:
+    bare = rf"regexp_replace({column}, '《[\x{{3040}}-\x{{30ff}}\s\p{{Z}}・]{{0,60}}》|[［\[][＃#][^］\]]*[］\]]', '', 'g')"
+    return rf"lower(regexp_replace(nfc_normalize(translate({bare}, '{_WIDE}', '{_NARROW}')), '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+
+
+_P7 = f"""
+with i as (select item_id, min({_canonical("text")}) as c from eval_items where item_id is not null and text is not null group by 1),
+d as (select distinct doc_id, {_canonical("text")} as c from documents where doc_id is not null and text is not null),
+ig as (select item_id, length(c) as chars, k, substr(c, k, 20) as s from i, lateral (select unnest(generate_series(1, length(c) - 19)) as k)),
+dg as (select distinct doc_id, substr(c, k, 20) as s from d, lateral (select unnest(generate_series(1, length(c) - 19)) as k)),
+m as (select distinct item_id, doc_id, chars, k from ig join dg using (s)),
+r as (select *, lead(k) over (partition by item_id, doc_id order by k) as later from m)
+"""
+def _form(column: str) -> str:
+    """The look-alike form for characters that compose to one character; built by rule from the Unicode tables."""
+    single = {}
+    for c in map(chr, [*range(0xA1, 0xD800), *range(0xF900, 0x10000)]):
+        k = unicodedata.normalize("NFKC", c)
+        if len(k) == 1 and k != c and not k.isspace() and not look_alikes.ignorable(c):
+            single[c] = k
+    quoted = lambda chars: "".join(chars).replace("'", "''")
+    # A base letter before its accents are composed, a composed one after.
+    classes = {c: k for c, k in look_alikes.CLASS.items() if c != k}
+    fold = lambda x, table: f"translate({x}, '{quoted(table)}', '{quoted(table.values())}')"
+    blanks = rf"regexp_replace({column}, '[\s\p{{Z}}\x{{85}}\x1c-\x1f]', ' ', 'g')"
+    visible = rf"regexp_replace({blanks}, '[\p{{Cf}}\p{{Cc}}\x{{fe00}}-\x{{fe0f}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{ffa0}}]', '', 'g')"
+    return f"trim(regexp_replace({fold(f'nfc_normalize({fold(fold(visible, single), classes)})', classes)}, ' +', ' ', 'g'))"
+
+
+_P3 = f"""
+with v as (
+  select 'canonical_title' as field, person_id, canonical_work_id as work, canonical_title as value from canonical_works
+  union select 'canonical_title_reading', person_id, canonical_work_id, canonical_title_reading from canonical_works
+  union select 'title_variants', person_id, canonical_work_id, unnest(title_variants) from canonical_works
+), f as (select *, {_form("value")} as form from v where value is not null and person_id is not null and work is not null)
+select distinct a.field, a.work as work_a, b.work as work_b from f a join f b on a.field = b.field and a.person_id = b.person_id and a.form = b.form and a.work < b.work and a.value <> b.value
+where a.form <> ''
+"""
+_P2 = """
+with t as (
+  select 'source_chunks' as record_table, chunk_id, text from source_chunks where (chunker_version is null or chunker_version <> 'aozora_v0') and length(text) >= 60 and chunk_id is not null
+  union select 'parsed_chunks', chunk_id, text from parsed_chunks where length(text) >= 60 and chunk_id is not null
+), g as (
+  select record_table, chunk_id, length(text) as chars, i, substr(text, i, 60) as s from t, lateral (select unnest(generate_series(1, length(text) - 59)) as i)
+), d as (select s from g group by s having min(chunk_id) < max(chunk_id)),
+h as (select distinct record_table, chunk_id, chars, i from g where s in (select s from d)),
+r as (select *, lead(i) over w as later, lag(i) over w as earlier from h window w as (partition by record_table, chunk_id order by i))
+"""
 SQL = {
+    "p2_found": _P2 + "select distinct record_table, chunk_id from h",
+    "p2_shared": _P2
+    + "select record_table, chunk_id, chars, cast(sum(least(60, coalesce(later - i, 60))) as bigint) as shared_chars, count(*) filter (earlier is null or i > earlier + 60) as passages, "
+    + "sum(least(60, coalesce(later - i, 60))) / chars as share from r group by record_table, chunk_id, chars",
+    "p3_found": _P3,
+    "p7_found": _P7 + "select item_id, doc_id from r group by item_id, doc_id, chars having 2 * sum(least(20, coalesce(later - k, 20))) >= chars",
     "p5_found": _P5 + "select distinct kept_id, id as copy_id from g where id <> kept_id",
     "p5_collapsed": _P5 + "select min(id) as kept_id, count(*) as copies from k group by q, canon",
 }
