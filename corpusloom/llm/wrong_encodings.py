@@ -46,6 +46,7 @@ NEVER = -20.0
 UNLIKELY = -6.0  # further cost of a strange character in what is restored
 LEAST = {"utf-8": 4.0, "cp932": 10.0, "euc_jp": 10.0}
 ROUNDS = 3
+MOST_HELD = 500_000  # counts a task holds before it hands them on
 EM_STEPS = 12
 LEAST_SEEN, SURE = 5.0, 0.5  # a byte is learned for a symbol seen so often, and so surely
 
@@ -316,7 +317,14 @@ def _expect(batches: Iterator[pd.DataFrame], language: Language) -> Iterator[pd.
                     if one and two and (a >= "\x80" or b >= "\x80"):
                         key = (source, ">".join(swap), ord(a), ord(b))
                         sums[key] = sums.get(key, 0) + 1
-    yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["source", "swap", "first", "second", "n"])
+        if len(sums) > MOST_HELD:
+            yield _emissions(sums)
+            sums = {}
+    yield _emissions(sums)
+
+
+def _emissions(sums: dict[tuple, int]) -> pd.DataFrame:
+    return pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["source", "swap", "first", "second", "n"])
 
 
 def _maximise(pdf: pd.DataFrame, counts: dict[str, np.ndarray]) -> pd.DataFrame:
