@@ -458,15 +458,15 @@ def t2_folded_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select time_bucket(interval '6 hours', ts) as window_start, event_type, count(*) as events from events group by all")
 def st11_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Tumbling windows over the events as a stream; the last windows are closed by a batch over what the watermark held back."""
+    """Tumbling windows over the events as one batch."""
     events = table(spark, d, "events")
     return jobs.windowed_counts(events, "6 hours", "40 days").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
 @query()
 def st11_stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    stream = jobs.windowed_counts(jobs.table_stream(spark, d, "events"), "6 hours", "1 hour")
-    return jobs.run_to_end(stream, "windows")
+    """The same windows through a stream: every batch counts its own rows, and the counts are summed, however late or early rows come."""
+    return jobs.run_merged(jobs.table_stream(spark, d, "events"), "windows", lambda rows: jobs.windowed_counts(rows, "6 hours", "1 hour"), jobs.summed_counts)
 
 
 @query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval '12 hours' then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
@@ -479,10 +479,12 @@ def st11_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def st6_stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshot rows through a stream, without those sent twice."""
-    stream = jobs.table_stream(spark, d, "corpus_snapshots").withColumn("delivered", F.col("delivered_at").cast("timestamp")).withWatermark("delivered", "200 days")
-    kept = stream.dropDuplicatesWithinWatermark(["snapshot_no", "record_table", "record_id", "delivered"])
-    return jobs.run_to_end(kept.select("snapshot_no", "record_table", "record_id", "delivered"), "changes")
+    """Snapshot rows through a stream, without those sent twice, however far apart."""
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.select("snapshot_no", "record_table", "record_id", F.col("delivered_at").cast("timestamp").alias("delivered")).distinct()
+
+    return jobs.run_merged(jobs.table_stream(spark, d, "corpus_snapshots"), "changes", distinct, lambda parts: parts.distinct())
 
 
 @query("select user_id, max(ts) as last_ts, count(*) as events from events where user_id is not null and ts is not null group by 1")

@@ -34,12 +34,29 @@ def run_batches(stream: DataFrame, name: str, each) -> None:
     stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_merged(stream: DataFrame, name: str, partial, merge) -> DataFrame:
+    """merge over all that ``partial`` makes of the batches: whole in any order of the rows, as no row is late and nothing stays open.
+
+    The part of a batch is written under its number, so a batch that is run again replaces its own.
+    """
+    spark, schema = stream.sparkSession, partial(stream).schema
+    out = fresh_path(spark, name)
+    spark.createDataFrame([], schema).write.parquet(f"{out}/none")  # a stream without rows has no batch
+    run_batches(stream, name, lambda rows, number: partial(rows).write.mode("overwrite").parquet(f"{out}/{number}"))
+    return merge(spark.read.schema(schema).parquet(f"{out}/*"))
+
+
 def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
     """(window_start, event_type, events, total) of tumbling windows; rows later than ``late`` are dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "events", "total")
 
 
+def summed_counts(parts: DataFrame) -> DataFrame:
+    """The windows of several ``windowed_counts`` as one."""
+    return parts.groupBy("window_start", "event_type").agg(F.sum("events").alias("events"), F.sum("total").alias("total"))
+
+
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     """(user_id, session_start, session_end, events): a session ends after a gap without events."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import nearest
 from corpusloom.operators import chunking, mutations, quality, retrieval
+from corpusloom.plans import reference
 from corpusloom.sources import readers
 from corpusloom.streaming import jobs
 
@@ -188,6 +189,22 @@ def test_stream_windows_agree_with_the_batch(spark):
     assert closed and closed <= every and len(every - closed) <= 12
 
 
+def test_streams_of_many_files_in_any_order_are_whole(spark, tmp_path):
+    for name in ("events", "corpus_snapshots"):
+        rows = spark.read.parquet(f"{DATA}/{name}.parquet")
+        rows.orderBy(F.rand(4)).repartition(40).write.parquet(str(tmp_path / f"{name}.parquet"))
+    windows = lambda df: {(r.window_start, r.event_type): (r.events, None if r.total is None else round(r.total, 6)) for r in df.collect()}
+    assert windows(reference.st11_stream_windows(spark, str(tmp_path))) == windows(jobs.windowed_counts(spark.read.parquet(f"{DATA}/events.parquet"), "6 hours", "1 hour"))
+    rows = spark.read.parquet(f"{DATA}/corpus_snapshots.parquet").select("snapshot_no", "record_table", "record_id", F.col("delivered_at").cast("timestamp"))
+    got = [tuple(r) for r in reference.st6_stream_changes(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in rows.collect()}
+
+
+def test_stream_without_rows(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/events.parquet").where("false").write.parquet(str(tmp_path / "events.parquet"))
+    assert reference.st11_stream_windows(spark, str(tmp_path)).count() == 0
+
+
 def test_stream_state_keeps_the_last_heartbeat(spark):
     seen = {}
     stream = jobs.latest_state(jobs.table_stream(spark, DATA, "events"))
