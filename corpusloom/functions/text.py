@@ -97,3 +97,8 @@ def hashed_id(prefix: str, *parts: Column, digits: int = 12) -> Column:
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def comparable(c: Column) -> Column:
+    """NFKC without white space (control characters that Python counts as such, too) and punctuation."""
+    return F.regexp_replace(without_noise(nfkc(c)), r"[\x1c-\x1f\x85]", "")

@@ -208,11 +208,10 @@ def g3_shared_grams(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g4_longest_common_runs(spark: SparkSession, d: str) -> DataFrame:
-    """The longest common substring of each draft with the texts, from 10 characters on, and the verdict at 20."""
-    texts = table(spark, d, "source_chunks").select(F.col("chunk_id").alias("id"), "text").distinct()
-    runs = retrieval.shared_grams(texts, _drafts(spark, d))
-    worst = runs.groupBy("draft_id").agg(F.max("longest").alias("longest"), F.count("*").alias("chunks"))
-    return _drafts(spark, d).select("draft_id").join(worst, "draft_id", "left").select("draft_id", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("chunks", F.lit(0)).alias("chunks"), (F.coalesce("longest", F.lit(0)) < 20).alias("passed"))
+    """The longest common substring of each draft with the texts, from 10 characters on, its share of n-grams found in any text, and the
+    verdict at 20 and 0.05; both sides without white space and punctuation."""
+    texts = table(spark, d, "source_chunks").select(F.col("chunk_id").alias("id"), "text")
+    return retrieval.similarity_verdicts(texts, _drafts(spark, d))
 
 
 @query("select chunk_id, contains(text, '�') or contains(text, '〓') as marked from source_chunks where text is not null and (contains(text, '�') or contains(text, '〓'))")

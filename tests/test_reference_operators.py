@@ -1,5 +1,7 @@
 import io
 import random
+import re
+import unicodedata
 import zipfile
 
 import numpy as np
@@ -56,6 +58,30 @@ def test_shared_grams_and_runs_against_brute_force(spark):
     assert got == want
 
 
+def test_similarity_verdicts_against_brute_force(spark):
+    random.seed(6)
+    noise = re.compile(r"[\s、。，．・「」『』（）()\[\]〔〕【】…―ー−—’'\"“”！？!?：:；;]")
+    bare = lambda t: noise.sub("", unicodedata.normalize("NFKC", t))
+    word = lambda n: "".join(chr(random.randint(0x4E00, 0x9000)) for _ in range(n))
+    noisy = lambda t: "".join(x + random.choice(["", "", "、", "\n", "　", "」"]) for x in t)
+    texts = [(f"t{k}", noisy(word(80) + "Ａｂｃ１２３ｶﾞ")) for k in range(8)] + [("n", None), ("e", "")]
+    cut = lambda k, a, n: bare(texts[k][1])[a : a + n]
+    drafts = [
+        ("own", word(60)), ("run", noisy(word(50) + cut(0, 5, 20) + word(50))), ("short runs", noisy(word(30) + cut(1, 0, 14) + word(30) + cut(2, 9, 12))), ("few", word(300) + noisy(cut(3, 3, 12))),
+        ("width", cut(4, 70, 17) + word(9)), ("twice", (cut(5, 2, 11) + word(40)) * 2), ("tiny", "短い"), ("none", "。、"),
+    ]
+    rows = retrieval.similarity_verdicts(spark.createDataFrame(texts, "id string, text string").repartition(3), spark.createDataFrame(drafts, "draft_id string, text string"))
+    grams = lambda t: {t[k : k + 10] for k in range(len(t) - 9)}
+    union, want = set().union(*[grams(bare(t)) for _, t in texts if t]), {}
+    for name, draft in drafts:
+        runs = [n for _, t in texts if t and (n := lcs(bare(draft), bare(t))) >= 10]
+        own = grams(bare(draft))
+        ratio = len(own & union) / len(own) if own else 0.0
+        want[name] = (max(runs, default=0), len(runs), round(ratio, 4), max(runs, default=0) < 20 and ratio <= 0.05)
+    assert {r.draft_id: (r.longest, r.chunks, r.ratio, r.passed) for r in rows.collect()} == want
+    assert {k for k, v in want.items() if not v[3]} == {"run", "short runs", "width"} and 0 < want["few"][2] <= 0.05
+
+
 def test_diversified_is_the_plain_fold(spark):
     random.seed(5)
     rows = [("q", f"c{k}", random.choice("st"), random.choice(["r1", "r2", None]), k) for k in range(40)]
