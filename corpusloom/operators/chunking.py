@@ -163,6 +163,90 @@ def paragraph_chunks(documents: DataFrame, most: int = 800) -> DataFrame:
     return rows.mapInPandas(lambda it: _paragraphs(it, most), "doc_id long, number int, char_start int, char_end int, kind string, text string")
 
 
+#: Annotated files: rules around the explanation of signs, the colophon, notes that name a heading, ruby.
+RULE, COLOPHON = re.compile(r"^-{10,}$", re.M), re.compile("^底本[：:]", re.M)
+NOTES, HEADING_NOTE = re.compile("［＃[^］]*］"), re.compile("［＃「([^」]+)」は(?:大|中|小)見出し］")
+RUBY = [(re.compile("｜([^｜《》]+)《([^《》]+)》"), r"\1"), (re.compile("([一-鿿々ヶ]+)《([^《》]+)》"), r"\1"), (re.compile("《([^《》]+)》"), "")]
+
+
+def annotated_chapters(text: str) -> list[tuple[str | None, str]]:
+    """(title, text) of the chapters of an annotated file, cut at heading notes; without head, colophon, readings and notes.
+
+    What stands before the first heading is no chapter; without headings the body is one.
+    """
+    text = text.replace("\r\n", "\n")
+    rules, colophon = list(RULE.finditer(text)), COLOPHON.search(text)
+    begin = rules[1].end() if len(rules) >= 2 else sum(len(x) + 1 for x in text.split("\n")[:2])
+    body = text[begin : colophon.start() if colophon else len(text)].strip("\n")
+    headings = list(HEADING_NOTE.finditer(body))
+    chapters = [] if headings else [(None, body.strip())]
+    for m, following in zip(headings, [*headings[1:], None]):
+        part = body[m.end() : following.start() if following else len(body)]
+        if following:
+            part = re.sub(r"［＃[^］]*］\s*" + re.escape(following[1]) + r"\s*$", "", part)
+        chapters.append((m[1], part.strip("\n 　")))
+    out = []
+    for title, part in chapters:
+        for pattern, kept in RUBY:
+            part = pattern.sub(kept, part)
+        out.append((title, NOTES.sub("", part)))
+    return out
+
+
+def sentence_units(at: int, line: str, most: int) -> list[tuple[int, str]]:
+    """(position, text): a line, or if it is over ``most`` its sentences packed up to that."""
+    out: list[tuple[int, str]] = []
+    for part in pieces(line, most, CLOSED_SENTENCE):
+        out.append((at, part))
+        at += len(part)
+    return out
+
+
+def packed_lines(text: str, fiction: bool = False, most: int = 800) -> list[tuple[int, int, str, str]]:
+    """(char_start, char_end, kind, text): neighbouring lines, joined until the next would go over ``most`` (line breaks not counted).
+
+    Of fiction, dialogue and narration are parted; else the kind is body. Lines over ``most`` are cut at ends of sentences.
+    """
+    chunks: list[tuple[int, int, str, str]] = []
+    buffer: list[tuple[int, str]] = []
+    held, at = "body", 0
+
+    def flush() -> None:
+        if buffer:
+            chunks.append((buffer[0][0], buffer[-1][0] + len(buffer[-1][1]), held, "\n".join(x for _, x in buffer)))
+            buffer.clear()
+
+    for line in text.split("\n"):
+        for start, part in sentence_units(at, line, most) if line.strip() else []:
+            kind = "body"
+            if fiction:
+                kind = "dialogue" if part.lstrip("　 ").startswith(("「", "『")) else "narration"
+            if kind != held or sum(len(x) for _, x in buffer) + len(part) > most:
+                flush()
+            held = kind
+            buffer.append((start, part))
+        at += len(line) + 1
+    flush()
+    return chunks
+
+
+def _corpus(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for doc, text, annotated, fiction in zip(pdf["doc_id"], pdf["text"], pdf["annotated"], pdf["fiction"]):
+            for c, (title, body) in enumerate(annotated_chapters(text) if annotated else [(None, text)], 1):
+                rows += [(doc, c, n, title, *chunk) for n, chunk in enumerate(packed_lines(body, bool(fiction), most), 1)]
+        yield pd.DataFrame(rows, columns=["doc_id", "chapter", "number", "title", "char_start", "char_end", "kind", "text"])
+
+
+def corpus_chunks(documents: DataFrame, annotated: Column, fiction: Column, most: int = 800) -> DataFrame:
+    """(doc_id, chapter, number, title, char_start, char_end, kind, text): lines packed chapter by chapter (``packed_lines``); positions are
+    those in the chapter's text, after readings and notes are taken out of annotated files."""
+    no = F.lit(False)
+    rows = documents.select("doc_id", "text", F.coalesce(annotated, no).alias("annotated"), F.coalesce(fiction, no).alias("fiction")).where("text is not null")
+    return rows.mapInPandas(lambda it: _corpus(it, most), "doc_id long, chapter int, number int, title string, char_start int, char_end int, kind string, text string")
+
+
 def as_of(left: DataFrame, right: DataFrame, group: str, at: str, value: str, block: int) -> DataFrame:
     """left with the value of the right row of its group with the greatest ``at`` not above its own (of equal ones the greatest value;
     right rows without value are none).

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, quality
 from corpusloom.plans import reference as ref
-from corpusloom.runtime import table
+from corpusloom.runtime import broadcast_if_small, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -152,7 +152,12 @@ def a22_routing_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t28_paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.paragraph_chunks(table(spark, d, "documents").where("doc_kind in ('essay', 'letter')"))
+    """Essays, letters and annotated files; fiction is what a source of the same work calls a novel, short story or sketch."""
+    docs = table(spark, d, "documents").where("doc_kind in ('essay', 'letter', 'annotated_file')")
+    told = table(spark, d, "sources").where("document_genre in ('novel', 'short_story', 'sketch')").select("edition_id")
+    works = table(spark, d, "work_editions").join(told, "edition_id", "left_semi").where("canonical_work_id is not null").select("canonical_work_id").distinct()
+    marked = docs.join(broadcast_if_small(works.withColumn("fiction", F.lit(True)), 1_000_000), "canonical_work_id", "left")
+    return chunking.corpus_chunks(marked, F.col("doc_kind") == "annotated_file", F.col("fiction"))
 
 
 @query("""select o_custkey, o_orderkey, rank() over w as position, ntile(4) over w as quarter, round(coalesce(o_totalprice - lag(o_totalprice) over w, 0), 2) as step from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey)""")

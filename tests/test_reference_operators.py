@@ -150,6 +150,21 @@ def test_paragraph_chunks_are_slices_of_their_text(spark):
         assert "".join(r.text for r in sorted(rows, key=lambda r: r.number) if r.doc_id == k) == "".join(x.strip() for x in t.split("\n"))
 
 
+def test_corpus_chunks_are_packed(spark):
+    a, b, c = "　" + "あ" * 299 + "。", "い" * 299 + "。", "う" * 298 + "。"
+    long = ("え" * 499 + "。」") * 2
+    plain = f"{a}\n\n{b}\n「{c}\n{long}"
+    file = f"題\n作者\n{'-' * 12}\n《》：ルビ\n{'-' * 12}\n前。\n［＃３字下げ］一［＃「一」は中見出し］\n　空《そら》の｜あお色《いろ》［＃「色」に傍点］。\n「はい。」\n「ええ。」\n去った。\n［＃３字下げ］二［＃「二」は中見出し］\n二夜。\n\n底本：「x」\n"
+    docs = spark.createDataFrame([(1, plain, "essay", False), (2, file, "annotated_file", True), (3, file, "annotated_file", None), (4, None, "letter", None), (5, " \n", "letter", None)], "doc_id long, text string, doc_kind string, fiction boolean")
+    rows = chunking.corpus_chunks(docs, F.col("doc_kind") == "annotated_file", F.col("fiction")).orderBy("doc_id", "chapter", "number").collect()
+    got = {k: [(r.chapter, r.number, r.title, r.char_start, r.char_end, r.kind, r.text) for r in rows if r.doc_id == k] for k in range(1, 6)}
+    half = long[:501]
+    assert got[1] == [(1, 1, None, 0, 603, "body", f"{a}\n{b}"), (1, 2, None, 604, 904, "body", "「" + c), (1, 3, None, 905, 1406, "body", half), (1, 4, None, 1406, 1907, "body", half)]
+    assert got[2] == [(1, 1, "一", 0, 6, "narration", "空のあお色。"), (1, 2, "一", 7, 18, "dialogue", "「はい。」\n「ええ。」"), (1, 3, "一", 19, 23, "narration", "去った。"), (2, 1, "二", 0, 3, "narration", "二夜。")]
+    assert got[3] == [(1, 1, "一", 0, 23, "body", "空のあお色。\n「はい。」\n「ええ。」\n去った。"), (2, 1, "二", 0, 3, "body", "二夜。")]
+    assert got[4] == got[5] == []
+
+
 def test_mutations(spark):
     old = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y"), ("n", None, "z")], "k string, h string, keep string")
     new = spark.createDataFrame([("b", "3"), ("c", "4"), ("n", None)], "k string, h string")
