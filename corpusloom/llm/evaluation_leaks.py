@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -204,11 +204,18 @@ def collapse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "".join(out), slots
 
 
-def consistent(item: list[tuple[int, str]], doc: list[tuple[int, str]], shifts: set[int]) -> int:
-    """Slots of the item that the document fills, if each value is always filled by one value; else 0. -1 if none differs."""
+def consistent(item: list[tuple[int, str]], doc: list[tuple[int, str]], shifts: Iterable[int], within: dict[int, np.ndarray] | None = None) -> int:
+    """Slots of the item that the document fills, if each value is always filled by one value; else 0. -1 if none differs.
+
+    within: for each shift the ascending item positions of its windows; slots outside them are then left alone.
+    """
     there, filled, differs = dict(doc), {}, False
     for position, value in item:
         for shift in shifts:
+            if within is not None:
+                k = int(np.searchsorted(within[shift], position, "right"))
+                if not k or position - within[shift][k - 1] >= WINDOW:
+                    continue
             if (other := there.get(position + shift)) is not None:
                 if filled.setdefault(value, other) != other:
                     return 0
@@ -217,6 +224,34 @@ def consistent(item: list[tuple[int, str]], doc: list[tuple[int, str]], shifts:
     return len(filled) if differs else -1
 
 
+def filled_slots(item: list[tuple[int, str]], doc: list[tuple[int, str]], item_at: np.ndarray, doc_at: np.ndarray, length: int) -> int:
+    """The slots of the first alignment that covers half of the item and is consistent; 0 or less if none is.
+
+    An alignment is one shift between item and document, else shifts that differ by small insertions, else all windows of the pair, as
+    its parts may stand apart. Only slots in matching windows count, as others are foreign text. A shift over the place of a verbatim copy isn't another copy, only the item's own likeness to itself.
+    """
+    shift = doc_at - item_at
+    values, one = np.unique(shift, return_inverse=True)
+    near = np.cumsum(np.concatenate(([0], np.diff(values) > WINDOW)))[one]
+    span, verbatim, found = int(item_at.max()) + 1, np.zeros(0, np.int64), 0
+    for level, group in enumerate((one, near, np.zeros_like(one))):
+        key = np.unique(group * span + item_at)
+        numbers, covered = _covered(key // span, key % span)
+        for g in numbers[np.argsort(-covered, kind="stable")][: int((covered * 2 >= length).sum())]:
+            mine = group == g
+            if level == 0 and np.isin(doc_at[mine], verbatim).mean() > 0.5:
+                continue
+            shifts, often = np.unique(shift[mine], return_counts=True)
+            shifts = shifts[np.argsort(-often, kind="stable")].tolist()
+            within = {x: np.unique(item_at[mine & (shift == x)]) for x in shifts}
+            found = consistent(item, doc, shifts, within)
+            if found > 0:
+                return found
+            if level == 0 and found < 0:
+                verbatim = np.concatenate((verbatim, doc_at[mine]))
+    return found
+
+
 def _reworded(batches: Iterator[pd.DataFrame], block: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
     item_templates = [collapse(t) for _, t in block]
     b = Batch([t for t, _ in item_templates])
@@ -235,8 +270,7 @@ def _reworded(batches: Iterator[pd.DataFrame], block: list[tuple[int, str]]) ->
         rows = []
         for p in whole:
             at = pair_of == p
-            shifts = set((docs.position[d[at]] - items["position"][i[at]]).tolist())
-            filled = consistent(item_templates[p % n][1], doc_templates[p // n][1], shifts)
+            filled = filled_slots(item_templates[p % n][1], doc_templates[p // n][1], items["position"][i[at]], docs.position[d[at]], int(b.lengths[p % n]))
             if filled > 0:
                 rows.append((block[p % n][0], pdf["doc_id"].iloc[p // n], filled))
         yield pd.DataFrame(rows, columns=["item_id", "doc_id", "slots"])

@@ -66,3 +66,22 @@ def test_empty_tables_and_long_document(spark):
     items, docs = frames(spark, [(1, "あ" * 10 + "いろはにほへとちりぬるをわかよたれそつね")], [(1, "い" * 400_000 + "いろはにほへとちりぬるをわかよたれそつね")])
     assert E.leaks(items.where("false"), docs).count() == 0 and E.leaks(items, docs.where("false")).count() == 0
     assert E.leaks(items, docs).count() == len(brute([(1, "あ" * 10 + "いろはにほへとちりぬるをわかよたれそつね")], [(1, "い" * 400_000 + "いろはにほへとちりぬるをわかよたれそつね")]))
+
+
+def test_reparameterised_copies_are_judged_one_by_one(spark):
+    body = "ある商人が三人にリンゴを 12 個ずつ配り、さらに 7 個を買い足して 12 個を市場で売った。残りは何個か求めよ。"
+    told = "次の問いを読み 5 行以内で必ず日本語だけで答えなさい。"
+    other, third = body.replace("12", "45").replace("7", "3"), body.replace("12", "86").replace("7", "9")
+    docs = [
+        (1, f"{body}つなぎの文。{other}"), (2, f"{other}つなぎの文。{third}"), (3, f"{other}つなぎの文。{body}"), (4, f"{body}つなぎの文。{body}"),
+        (5, body.replace("12", "45", 1) + "つなぎの文。" + body), (6, body),
+    ]
+    got = {tuple(r)[:2] for r in E.reparameterised(*frames(spark, [(1, body)], docs)).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3)}
+    repeated = [(1, told.replace("5", "8") + "別の話 4 つ。" + told.replace("5", "2") + other), (2, told + "別の話 4 つ。" + told + body)]
+    assert {tuple(r)[:2] for r in E.reparameterised(*frames(spark, [(1, told + body)], repeated)).collect()} == {(1, 1)}
+
+
+def test_a_verbatim_list_is_no_copy_of_itself(spark):
+    item = "".join(f"つぎの品物の値段は {k} 円である。" for k in range(1, 9))
+    assert E.reparameterised(*frames(spark, [(1, item)], [(1, "前置き。" + item)])).count() == 0
