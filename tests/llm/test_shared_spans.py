@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from corpusloom import runtime
 from corpusloom.llm import shared_spans as S
 
 SCHEMA = "chunk_id string, text string, rid string, content string"
@@ -30,9 +32,9 @@ def run(spark, tables):
     return got
 
 
-@pytest.mark.parametrize("most", [S.MOST_IN_BITMAP, 3])
-def test_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(S, "MOST_IN_BITMAP", most)
+@pytest.mark.parametrize("hot", [runtime.HOT_ROWS, 2])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "joined_hot", lambda *a: runtime.joined_hot(*a, hot))
     random.seed(4)
     word = lambda n: "".join(random.choice("あいうえおかきくけこ\nab") for _ in range(n))
     passages = [word(n) for n in (58, 59, 60, 61, 90, 400)]
@@ -60,3 +62,22 @@ def test_many_copies_very_long_text_and_one_letter(spark):
 
 def test_empty_tables(spark):
     assert run(spark, {"one": [], "two": []}) == {}
+
+
+def test_cartesian_tree_against_its_definition():
+    random.seed(7)
+    for n in (1, 2, 50, 300):
+        for top in (3, 10**6):
+            v = np.array([random.randint(0, top) for _ in range(n)], np.uint64)
+            before, after = S.cartesian_tree(v)
+            for i in np.flatnonzero(v):
+                assert before[i] == max((j for j in range(i) if v[j] <= v[i]), default=-1)
+                assert after[i] == min((j for j in range(i + 1, n) if v[j] < v[i]), default=n)
+
+
+def test_one_id_with_two_texts(spark):
+    random.seed(8)
+    word = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    a, b = word(100), word(100)
+    tables = {"one": [("a", a), ("a", a), ("b", "x" + b)], "two": [("a", b), ("c", word(20) + a[:70])]}
+    assert run(spark, tables) == brute(tables) and len(brute(tables)) == 4
