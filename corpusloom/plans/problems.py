@@ -71,7 +71,7 @@ with h as (
   where snapshot_no is not null and record_table is not null and record_id is not null
 ), last as (
   select * exclude (rn) from (
-    select *, row_number() over (partition by snapshot_no, record_table, record_id order by delivered_at desc, h is not null desc, h) as rn from h
+    select *, row_number() over (partition by snapshot_no, record_table, record_id order by delivered_at desc nulls last, h is not null desc, cast('0x' || substr(md5(h), 1, 15) as bigint) desc) as rn from h
   ) where rn = 1
 ), nos as (
   select snapshot_no as later, lag(snapshot_no) over (order by snapshot_no) as earlier

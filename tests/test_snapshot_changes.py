@@ -64,3 +64,33 @@ def test_deliveries_may_come_one_at_a_time(spark):
     index.ingest(spark.createDataFrame([row(2, "source_chunks", "a", "y")], SCHEMA))
     assert [r.change_type for r in index.advance().collect()] == ["changed"]
     assert index.current == 2 and index.pending() == []
+
+
+def test_late_rows_equal_one_delivery_and_make_both_neighbours_due(spark):
+    first = [row(1, "source_chunks", "a", "x"), row(1, "source_chunks", "b", "x"), row(2, "source_chunks", "a", "x"), row(2, "source_chunks", "b", "x", 5), row(3, "source_chunks", "a", "x")]
+    late = [row(2, "source_chunks", "c", "z"), row(2, "source_chunks", "b", "y", 9), row(2, "source_chunks", "a", "old", -5)]
+    index = SnapshotIndex(spark, 2)
+    index.ingest(spark.createDataFrame(first, SCHEMA))
+    while index.pending():
+        index.advance()
+    index.ingest(spark.createDataFrame(late, SCHEMA))
+    assert index.pending() == [2, 3]
+    got = set()
+    while index.pending():
+        got |= {tuple(r) for r in index.advance().collect()}
+    assert got == found(spark, first + late) and ("source_chunks", "b", 2, "changed") in got and ("source_chunks", "c", 3, "removed") in got
+    # A delivery that comes between two others.
+    index.ingest(spark.createDataFrame([row(0, "source_chunks", "a", "x")], SCHEMA))
+    assert index.pending() == [0, 1]
+    # Another index takes up the folder, then all of it goes.
+    other = SnapshotIndex(spark, 5, index.folder, current=1)
+    assert other.pending() == [2, 3] and {tuple(r) for r in other.advance().collect()} == {r for r in got if r[2] == 2}
+    other.close()
+    assert SnapshotIndex(spark, 2, other.folder).pending() == []
+
+
+def test_equal_times_take_the_larger_fingerprint_and_a_hash_before_none(spark):
+    two = [row(1, "source_chunks", "a", "x"), row(2, "source_chunks", "a", "x"), row(2, "source_chunks", "a", None)]
+    assert found(spark, two) == set()
+    both = [row(1, "source_chunks", "a", "x"), row(1, "source_chunks", "a", "y"), row(2, "source_chunks", "a", "y"), row(2, "source_chunks", "a", "x")]
+    assert found(spark, both) == set()
