@@ -41,11 +41,14 @@ KEYS = {
 }
 
 
+def _orphans(spark: SparkSession, sf_dir: str) -> orphans.Orphans:
+    """The whole graph of tables, down from the works, with the log of deleted chunks."""
+    tables = {name: table(spark, sf_dir, name) for name in KEYS}
+    return orphans.cascade(tables, KEYS, EDGES, {"source_chunks": table(spark, sf_dir, "chunk_deletions")})
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("source_chunks", "thought_cards", "creative_cards")
-    tables = {name: table(spark, sf_dir, name) for name in names}
-    edges = [e for e in EDGES if e.child in names[1:]]
-    found = orphans.cascade(tables, KEYS, edges, {"source_chunks": table(spark, sf_dir, "chunk_deletions")}).references
+    found = _orphans(spark, sf_dir).references.where("table in ('thought_cards', 'creative_cards')")
     return found.select(F.col("table").alias("card_table"), F.col("record_id").alias("card_id"), F.col("ref").alias("chunk_id"), "period", "reason")
 
 
@@ -55,11 +58,25 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {name: table(spark, sf_dir, name) for name in KEYS}
-    return orphans.cascade_report(orphans.cascade(tables, KEYS, EDGES))
+    """Direct and inherited orphans of every table per month; deleted chunks orphan as missing ones do."""
+    return orphans.cascade_report(_orphans(spark, sf_dir))
+
+
+DELIVERED = {"work_editions": None, "sources": "work_editions", "source_chunks": "sources"}
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_totals, p4_found, p4_report, p4_cascade)}
+def p4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans inside each delivery: sources whose edition it lacks, chunks whose source it lacks, and what hangs below those."""
+    rows = table(spark, sf_dir, "corpus_snapshots").where("snapshot_no is not null and record_id is not null")
+    inside = lambda c: F.concat(F.col("snapshot_no").cast("string"), F.lit("/"), orphans.clean_id(F.col(c)))
+    keyed = rows.select("record_table", inside("record_id").alias("id"), inside("parent_id").alias("parent"), F.col("taken_at").alias("created_at"))
+    tables = {name: keyed.where(F.col("record_table") == name).drop("record_table") for name in DELIVERED}
+    edges = [orphans.Edge(child, "parent", parent) for child, parent in DELIVERED.items() if parent]
+    found = orphans.cascade(tables, dict.fromkeys(DELIVERED, "id"), edges).records
+    return found.groupBy(F.split_part("record_id", F.lit("/"), F.lit(1)).cast("int").alias("snapshot_no"), "table", "period", "kind").agg(F.count("*").alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p1_totals, p4_found, p4_report, p4_cascade, p4_snapshots)}
 
 _CLEAN = r"nullif(regexp_replace(lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '^sha256:\s*', ''), '')"
 _P1 = f"""
@@ -132,7 +149,22 @@ left join records r on o.tab = r.tab and o.record_id = r.record_id group by all
 """
 
 
+_P4_SNAPSHOTS = f"""
+with recursive k as (
+  select distinct snapshot_no, record_table as tab, {_id("record_id")} as id, {_id("parent_id")} as parent,
+    case record_table when 'sources' then 'work_editions' when 'source_chunks' then 'sources' end as parent_table, taken_at
+  from corpus_snapshots where snapshot_no is not null and record_id is not null
+), records as (select snapshot_no, tab, id, min(strftime(taken_at, '%Y-%m')) as period from k group by all),
+links as (select * from k where parent is not null and parent_table is not null),
+direct as (select distinct l.snapshot_no, l.tab, l.id from links l left join records r on r.snapshot_no = l.snapshot_no and r.tab = l.parent_table and r.id = l.parent where r.id is null),
+o as (select * from direct union select l.snapshot_no, l.tab, l.id from links l join o on l.snapshot_no = o.snapshot_no and l.parent_table = o.tab and l.parent = o.id)
+select o.snapshot_no, o.tab as "table", r.period, case when d.id is null then 'inherited' else 'direct' end as kind, count(*) as records
+from o left join direct d using (snapshot_no, tab, id) left join records r using (snapshot_no, tab, id) group by all
+"""
+
+
 SQL = {
+    "p4_snapshots": _P4_SNAPSHOTS,
     "p1_found": _P1 + "select record_table, record_id, snapshot_no, change_type from c where change_type is not null",
     "p1_changes": _P1 + "select record_table, record_id, snapshot_no, old_hash, new_hash from c where change_type = 'changed'",
     "p1_totals": _P1 + "select record_table, snapshot_no, change_type, count(*) as records from c where change_type is not null group by all",

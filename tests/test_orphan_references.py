@@ -1,5 +1,9 @@
 from datetime import datetime
 
+import pytest
+
+from corpusloom import runtime
+from corpusloom.operators import orphan_references
 from corpusloom.operators.orphan_references import Edge, cascade, cascade_report
 
 A, B = datetime(2026, 1, 5), datetime(2026, 2, 5)
@@ -33,9 +37,15 @@ def test_empty_tables(spark):
     assert references(spark, [], [("K", ["C"], A, "")]) == {("K", "C", "2026-01", "missing")}
 
 
-def test_inherited_orphans_circles_and_report(spark):
-    nodes = [("a", "gone", A), ("b", "a", A), ("c", "b", B), ("d", "d", A), ("e", "f", A), ("f", "e", A), ("g", None, A), ("c", "b", B)]
+@pytest.mark.parametrize("hot", [runtime.HOT_ROWS, 1])
+def test_inherited_orphans_circles_and_report(spark, monkeypatch, hot):
+    monkeypatch.setattr(orphan_references, "joined_hot", lambda *a: runtime.joined_hot(*a, hot))
+    nodes = [("a", "gone", A), ("b", "a", A), ("c", "b", B), ("d", "d", A), ("e", "f", A), ("f", "e", A), ("g", None, A), ("c", "b", B), ("c", "a", A)]
     t = {"nodes": spark.createDataFrame(nodes, "id string, parent string, created_at timestamp")}
     found = cascade(t, {"nodes": "id"}, [Edge("nodes", "parent", "nodes")])
-    assert {(r.record_id, r.kind, r.round) for r in found.records.collect()} == {("A", "direct", 0), ("B", "inherited", 1), ("C", "inherited", 2)}
-    assert {tuple(r) for r in cascade_report(found).collect()} == {("nodes", "2026-01", "direct", 1), ("nodes", "2026-01", "inherited", 1), ("nodes", "2026-02", "inherited", 1)}
+    assert {(r.record_id, r.kind, r.round) for r in found.records.collect()} == {("A", "direct", 0), ("B", "inherited", 1), ("C", "inherited", 1)}
+    assert {tuple(r) for r in cascade_report(found).collect()} == {("nodes", "2026-01", "direct", 1), ("nodes", "2026-01", "inherited", 2)}
+    chain = {"nodes": spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else "gone", A) for k in range(5)], "id string, parent string, created_at timestamp")}
+    assert {(r.record_id, r.round) for r in cascade(chain, {"nodes": "id"}, [Edge("nodes", "parent", "nodes")]).records.collect()} == {(f"N{k}", k) for k in range(5)}
+    with pytest.raises(ValueError):
+        cascade(chain, {"nodes": "id"}, [Edge("nodes", "parent", "nodes")], most_rounds=3)
