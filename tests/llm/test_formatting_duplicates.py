@@ -43,9 +43,9 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(None, "body", base[0]), ("n", "body", None), ("e", "qa_pair", "")]
     assert run(spark, rows) == brute(rows)
     # Every key of more than two rows as a hot one: the two-level path must agree.
-    monkeypatch.setattr(D, "LEAST_HOT", 2)
-    monkeypatch.setattr(D, "HOT_SHARE", 10**9)
-    assert run(spark, rows) == brute(rows)
+    for most in (1, 2, 10**6):
+        monkeypatch.setattr(D, "HOT_ROWS", most)
+        assert run(spark, rows) == brute(rows)
 
 
 def test_empty_table_and_long_text(spark):
