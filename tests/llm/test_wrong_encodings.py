@@ -78,3 +78,32 @@ def test_in_spark_with_nulls_and_repeats(spark):
     got = {r.record_id: r.restored for r in W.garbled(df).collect()}
     assert set(got) == {"bad", "nosource", "long"}
     assert W.garbled(df.where("false")).count() == 0
+
+
+def test_a_page_in_no_list_is_learned_and_texts_restored(spark):
+    texts = [r[0] for r in duckdb.sql(f"select distinct text from '{DATA}/source_chunks.parquet' where text is not null and length(text) > 150 order by 1").fetchall()]
+    texts = [t for t in texts if not W.suspicious(t) and len(t.encode()) > 2 * len(t)]
+    order = [37 * k % 128 for k in range(128)]
+    bad = ["".join(chr(b) if b < 0x80 else chr(0x0620 + order[b - 0x80]) for b in t.encode()) for t in texts[:40]]
+    rows = [("t", f"c{k}", f"s{k % 7}", t) for k, t in enumerate(texts)] + [("t", f"bad{k}", "odd", b) for k, b in enumerate(bad)]
+    got = {r.record_id: r.restored for r in W.garbled(spark.createDataFrame(rows, "record_table string, record_id string, source string, text string")).collect()}
+    assert set(got) == {f"bad{k}" for k in range(40)}
+    assert sum(got[f"bad{k}"] == texts[k] for k in range(40)) >= 38
+
+
+def test_a_symbol_leaves_the_table_only_for_a_free_byte_and_a_gain(language):
+    import pandas as pd
+
+    bad = [swapped(CLEAN, "cp1252", "utf-8") for _ in range(5)]
+    pairs = pd.DataFrame([(ord(a), ord(b), 1) for t in bad for a, b in zip(t, t[1:])], columns=["first", "second", "n"]).groupby(["first", "second"], as_index=False).sum()
+    counts = W.byte_bigrams([CLEAN * 50])
+    assert W.learn_mapping(pairs, ("cp1252", "utf-8"), counts) == {}
+    # One symbol exchanged for one the page lacks.
+    moved = pairs.replace({"first": {0xE3: 0x3B1}, "second": {0xE3: 0x3B1}})
+    assert W.learn_mapping(moved, ("cp1252", "utf-8"), counts) == {0x3B1: 0xE3}
+
+
+def test_foreign_letters_beside_a_garbled_piece(language):
+    text = FRENCH + "扉に «Конец и начало» とある。"
+    bad = swapped("la forêt fût près de la rivière", "cp1252", "utf-8") + "。" + "扉に «Конец и начало» とある。" * 3
+    assert W.restore(bad, language)[0].startswith("la forêt fût près de la rivière") and W.restore(text, language)[1] is None
