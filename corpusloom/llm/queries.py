@@ -36,6 +36,11 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes.consistent_forms(look_alikes.work_values(table(spark, sf_dir, "canonical_works")))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of values that look the same, with their spellings and works."""
+    return look_alikes.look_alike_classes(table(spark, sf_dir, "canonical_works")).where("spellings > 1")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.duplicate_members(table(spark, sf_dir, "parsed_chunks"))
 
@@ -81,7 +86,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_areas.composition(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_reparameterised, p8_mixture, p8_shares, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p3_found, p3_forms, p3_classes, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p7_reparameterised, p8_mixture, p8_shares, p9_found, p9_composition)}
 
 _LETTERS = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _FIELDS = (
@@ -114,16 +119,71 @@ dg as (select distinct doc_id, substr(c, k, 20) as s from d, lateral (select unn
 m as (select distinct item_id, doc_id, chars, k from ig join dg using (s)),
 r as (select *, lead(k) over (partition by item_id, doc_id order by k) as later from m)
 """
+#: The look-alikes of the SQL, a class to a line; the operator has its own, larger table.
+_LOOK_ALIKES = """
+A Α А
+B Β В
+C С Ϲ
+E Ε Е
+H Η Н
+I Ι І
+J Ј
+K Κ К
+M Μ М
+N Ν
+O Ο О
+P Ρ Р
+S Ѕ
+T Τ Т
+X Χ Х
+Y Υ Ү
+Z Ζ
+a а α
+c с ϲ
+e е
+i і ι
+j ј
+o ο о
+p р ρ
+s ѕ
+v ν
+x х
+y у
+ト 卜
+ニ 二
+タ 夕
+カ 力
+ハ 八
+エ 工
+ロ 口
+へ ヘ
+べ ベ
+ぺ ペ
+チ 千
+ミ 三
+オ 才
+ヌ 又
+ー 一 ― — – ‐ ‑ ‒ − - ─ ━
+・ · ‧ • ∙ ⋅
+~ 〜 ∼
+' ’ ‘ ʼ ′
+" “ ” ″
+"""
+
+
 def _form(column: str) -> str:
-    """The look-alike form for characters that compose to one character; built by rule from the Unicode tables."""
+    """The look-alike form for characters that compose to one character; width and compatibility characters by rule from the Unicode tables."""
     single = {}
     for c in map(chr, [*range(0xA1, 0xD800), *range(0xF900, 0x10000)]):
-        k = unicodedata.normalize("NFKC", c)
-        if len(k) == 1 and k != c and not k.isspace() and not look_alikes.ignorable(c):
-            single[c] = k
+        tag, *codes = unicodedata.decomposition(c).split() or [""]
+        tag, codes = (tag, codes) if tag.startswith("<") else ("", [tag, *codes])
+        if len(codes) == 1 and codes[0] and tag in ("", "<wide>", "<narrow>", "<compat>"):
+            k = chr(int(codes[0], 16))
+            if not k.isspace() and c not in "ﾠㅤᅠ":
+                single[c] = k
     quoted = lambda chars: "".join(chars).replace("'", "''")
     # A base letter before its accents are composed, a composed one after.
-    classes = {c: k for c, k in look_alikes.CLASS.items() if c != k}
+    classes = {c: line.split()[0] for line in _LOOK_ALIKES.strip().splitlines() for c in line.split()[1:]}
     fold = lambda x, table: f"translate({x}, '{quoted(table)}', '{quoted(table.values())}')"
     blanks = rf"regexp_replace({column}, '[\s\p{{Z}}\x{{85}}\x1c-\x1f]', ' ', 'g')"
     visible = rf"regexp_replace({blanks}, '[\p{{Cf}}\p{{Cc}}\x{{fe00}}-\x{{fe0f}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{ffa0}}]', '', 'g')"

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from corpusloom.llm import look_alikes as L
 
@@ -32,11 +33,48 @@ def test_canonical_spelling_is_the_most_frequent(spark):
     assert forms == {"ポスト x": "ポスト x", "ポスト y": "ポスト y", "ポス卜 z": "ポスト z", "力": "カ"}
 
 
-def test_trie_reaches_only_free_edits():
-    trie = L.Trie()
-    for s in ("カラー", "力ラー", "カラ", "からー"):
+def test_automaton_costs(spark):
+    table = L.look_alike_table(spark)
+    trie = L.Trie(table)
+    for s in ("カラー", "力ラー", "カ​ラー", "カラ", "からー", "ガラー", "カラーズ"):
         trie.insert(s, 1)
-    assert {s for s, _ in trie.reach("ｶﾗ一")} == {"カラー", "力ラー"}
+    assert {s for s, _ in trie.reach("ｶﾗ一")} == {"カラー", "力ラー", "カ​ラー"}
+    assert {s for s, _ in trie.reach("ｶﾗ一", 1)} == {"カラー", "力ラー", "カ​ラー", "カラ", "ガラー"} | ({"カラーズ"} if len(L.atoms("ズ", table)) == 1 else set())
+    # Against the edit distance of atoms.
+    random.seed(5)
+    words = ["".join(random.choice("カ力ラーー一a а") for _ in range(random.randint(1, 5))) for _ in range(60)]
+    trie = L.Trie(table)
+    for w in set(words):
+        trie.insert(w, 1)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for w in words:
+        for most in (0, 1, 2):
+            assert {s for s, _ in trie.reach(w, most)} == {s for s in words if distance(L.atoms(s, table), L.atoms(w, table)) <= most}
+
+
+def test_table(spark):
+    table = L.look_alike_table(spark)
+    form = lambda x: L.table_form(x, table)
+    for same in ("ɑa", "һh", "ԁd", "工エ", "ΙIІ", "оoο", "べベ", "⼀一ー", "ーｰ-", "ﾄ卜ト", "～〜", "·・"):
+        assert len({form(c) for c in same}) == 1, same
+    for other in ("lI1", "0O", "①1", "²2", "㌔キ", "えゑ", "國国", "éeÉ", "かがカ", "ツッ", "mn", "ノ/", "いイ"):
+        assert len({form(c) for c in other}) == len(other), other
+
+
+def test_hot_form(spark, monkeypatch):
+    rows = [(f"w{k:02d}", "p", "カフェ" if k % 3 else "力フェ", None, None) for k in range(30)]
+    want = found(spark, rows)
+    assert len(want) == 200
+    monkeypatch.setattr(L, "HOT_FORM", 4)
+    assert found(spark, rows) == want
 
 
 def test_very_long_value(spark):
