@@ -144,9 +144,13 @@ class Trie:
 
 def _skipping(states: dict[int, int], length: int, most: int) -> dict[int, int]:
     """With the states that leave out atoms of the token."""
-    for i in range(min(states, default=length), length):
-        if i in states and states[i] < most:
-            states[i + 1] = min(states[i] + 1, states.get(i + 1, most))
+    for i in sorted(states):
+        cost = states[i]
+        while cost < most and i < length:
+            i, cost = i + 1, cost + 1
+            if states.get(i, most + 1) <= cost:
+                break
+            states[i] = cost
     return states
 
 

@@ -6,7 +6,9 @@ multiplier l per source, and w = min(cap, exp(l * tokens / scale)). Newton's ite
 distributed: each is one aggregation over (source, tokens, documents) for the gradient and the
 curvature, of one row per source; a step that leaves the bracket known so far halves it instead. The rates
 are rounded into copies by systematic rounding along the token count, in strata of about STRATUM documents, so no
-task orders a whole source; copies never exceed the cap.
+task orders a whole source; copies never exceed the cap. What a source then lacks or has too much in tokens is made good by
+documents that were rounded the other way, stratum by stratum, the last of them chosen to fit: as long as it has such documents, a
+source misses its tokens by less than one of them.
 
 The total is the largest at which every source that has tokens can still reach its share under its cap
 (``total_tokens`` sets another; it is an error if out of reach). Shares are those of the sources that
@@ -19,9 +21,12 @@ taken; caps null mean no cap; a target given twice is an error.
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +43,10 @@ def clean_source(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
-def _count_tokens(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def _count_tokens(batches: Iterator[pd.DataFrame], file: str) -> Iterator[pd.DataFrame]:
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(file))
     for pdf in batches:
         counts = [len(ids) for ids in model.encode(pdf["text"].tolist(), num_threads=1)]
         yield pdf[["doc_id", "source"]].assign(tokens=counts)
@@ -50,7 +55,8 @@ def _count_tokens(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.Dat
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens) of whole texts by a public tokenizer."""
     docs = documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").where("source is not null and source <> '' and text is not null and text <> ''")
-    return docs.mapInPandas(lambda it: _count_tokens(it, tokenizer), "doc_id long, source string, tokens long")
+    documents.sparkSession.sparkContext.addFile(tokenizer)  # executors need not have it
+    return docs.mapInPandas(lambda it: _count_tokens(it, os.path.basename(tokenizer)), "doc_id long, source string, tokens long")
 
 
 def _target_rows(targets: DataFrame) -> dict[str, tuple[float, float]]:
@@ -63,8 +69,8 @@ def _target_rows(targets: DataFrame) -> dict[str, tuple[float, float]]:
     return out
 
 
-def balance(counted: DataFrame, targets: dict[str, tuple[float, float]], total_tokens: float | None = None) -> list[tuple[str, float, float, float]]:
-    """(source, multiplier, scale, cap) of every source that can be used."""
+def balance(counted: DataFrame, targets: dict[str, tuple[float, float]], total_tokens: float | None = None) -> list[tuple[str, float, float, float, float]]:
+    """(source, multiplier, scale, cap, tokens to reach) of every source that can be used."""
     spark = counted.sparkSession
     hist = checkpoint(counted.where("tokens > 0").groupBy("source", "tokens").agg(F.count("*").alias("n")))
     sums = {r["source"]: r for r in hist.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("t"), F.sum("n").alias("n")).collect() if r["source"] in targets}
@@ -78,7 +84,7 @@ def balance(counted: DataFrame, targets: dict[str, tuple[float, float]], total_t
         raise ValueError(f"at most {most:.0f} tokens can be reached under the caps")
     goal = {s: min(targets[s][0] / share * total, r["t"] * targets[s][1]) for s, r in usable.items()}
     scale = {s: r["t"] / r["n"] for s, r in usable.items()}
-    low, high, at = dict.fromkeys(usable, -700.0), dict.fromkeys(usable, 700.0), dict.fromkeys(usable, 0.0)
+    low, high, at = dict.fromkeys(usable, -700.0), dict.fromkeys(usable, 700.0), {s: math.log(goal[s] / r["t"]) for s, r in usable.items()}
     for _ in range(MOST_STEPS):
         state = spark.createDataFrame([(s, at[s], scale[s], targets[s][1]) for s in usable], "source string, l double, scale double, cap double")
         free = F.exp(F.least(F.lit(600.0), F.col("l") * F.col("tokens") / F.col("scale")))
@@ -102,7 +108,7 @@ def balance(counted: DataFrame, targets: dict[str, tuple[float, float]], total_t
                 at[s] = newton if low[s] < newton < high[s] else (low[s] + high[s]) / 2
         if worst <= TOLERANCE:
             break
-    return [(s, at[s], scale[s], targets[s][1]) for s in usable]
+    return [(s, at[s], scale[s], targets[s][1], goal[s]) for s in usable]
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -110,7 +116,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     counted = checkpoint(token_counts(documents, tokenizer))
     state = balance(counted, _target_rows(targets), total_tokens)
     spark = documents.sparkSession
-    duals = spark.createDataFrame(state, "source string, l double, scale double, cap double")
+    duals = spark.createDataFrame(state, "source string, l double, scale double, cap double, goal double")
     strata = counted.groupBy("source").agg(F.ceil(F.count("*") / STRATUM).alias("strata"))
     rated = (
         counted.where("tokens > 0")
@@ -125,7 +131,34 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     # The strata begin at different phases, so that their rounding errors don't add up.
     phase = F.pmod(F.xxhash64("source", "stratum"), F.lit(1 << 20)) / (1 << 20)
     copies = F.floor("rate") + F.floor(F.col("until") + phase) - F.floor(F.col("until") - part + phase)
-    return rated.withColumn("until", until).select("doc_id", "source", "tokens", "rate", F.least(copies, F.col("cap").cast("long")).alias("copies"))
+    rounded = rated.withColumn("until", until).withColumn("copies", F.least(copies, F.col("cap").cast("long")))
+    rounded = checkpoint(rounded.select("doc_id", "source", "tokens", "rate", "copies", "stratum", "cap", "goal"))
+    return rounded.join(_corrections(rounded), ["source", "stratum", "doc_id"], "left").select(
+        "doc_id", "source", "tokens", "rate", (F.col("copies") + F.coalesce("step", F.lit(0))).alias("copies")
+    )
+
+
+def _corrections(rounded: DataFrame) -> DataFrame:
+    """(source, stratum, doc_id, step): documents that get one copy more (or less), so that their source has its tokens.
+
+    Whole strata of candidates are taken as long as they are needed, then documents of the next, then the one that fits best.
+    """
+    miss = rounded.groupBy("source").agg((F.first("goal") - F.sum(F.col("copies") * F.col("tokens"))).alias("miss"))
+    lower = F.floor("rate")
+    up = (F.col("miss") > 0) & (F.col("copies") == lower) & (F.col("rate") > lower) & (F.col("copies") + 1 <= F.col("cap"))
+    down = (F.col("miss") < 0) & (F.col("copies") > lower)
+    step = F.when(up, 1).when(down, -1)
+    free = rounded.join(F.broadcast(miss), "source").withColumn("step", step).where("step is not null").select("source", "stratum", "doc_id", "tokens", "step", F.abs("miss").alias("miss"))
+    strata = Window.partitionBy("source").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    before = free.groupBy("source", "stratum").agg(F.sum("tokens").alias("t")).select("source", "stratum", F.coalesce(F.sum("t").over(strata), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "stratum").orderBy("tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = checkpoint(free.join(before, ["source", "stratum"]).where("before < miss").withColumn("until", F.col("before") + F.sum("tokens").over(inside)))
+    taken = placed.where("until <= miss")
+    left = placed.groupBy("source").agg(F.first("miss").alias("miss"), F.max(F.when(F.col("until") <= F.col("miss"), F.col("until"))).alias("until"))
+    left = left.select("source", (F.col("miss") - F.coalesce("until", F.lit(0))).alias("rest"))
+    others = placed.where("until > miss").join(F.broadcast(left), "source").withColumn("off", F.abs(F.col("tokens") - F.col("rest"))).where("off < rest")
+    best = others.groupBy("source").agg(F.min_by(F.struct("stratum", "doc_id", "step"), F.struct("off", "doc_id")).alias("x")).select("source", "x.*")
+    return taken.select("source", "stratum", "doc_id", "step").unionByName(best)
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
