@@ -1,15 +1,18 @@
 """Evaluation texts leaking into training text.
 
 Method: template canonicalisation. Texts are reduced to their letters and digits (ruby readings, notes, white
-space, punctuation, case and width gone), and numbers, foreign names and units are replaced by typed
+space, punctuation, case and width gone), and numbers, names and units are replaced by typed
 placeholders. Windows of the template of WINDOW characters are hash-joined between items and documents; a
-matching window is then checked for its slots: with equal slots it is a verbatim run, with other slots, each
-value of the item always replaced by the same value of the document, a re-parameterised question.
+matching window is then checked for its slots. With equal slots it is a verbatim run (``leaks``); with other slots, each
+value of the item always replaced by the same value of the document, a re-parameterised question (``reparameterised``).
+
+In ``leaks`` placeholders keep the length, so that runs can be measured, and names are katakana, as letter case doesn't count there; in
+``reparameterised`` a number, unit or name is one placeholder, and capitalised words within a sentence are names, too.
 
 The items are a stated query set: they are taken to the tasks in blocks of at most BLOCK_WINDOWS windows (about
-16 MB), and every document is held against every block whole, in numpy, inside mapInPandas; nothing of a document is
-shuffled. A wide-spread instruction matches many items in one document, but only (item, document) sums leave
-the task.
+100 MB), one pass over the documents for a block, so for about 40,000 items of usual length; an item is never split. Every document is
+held against every item whole, in numpy, inside mapInPandas; nothing of a document is shuffled. A wide-spread instruction matches many
+items in one document, but only (item, document) sums leave the task.
 
 Defined results: null or empty texts, and items shorter than WINDOW letters and digits, match nothing; repeated
 rows of a document or an item are one; empty tables give an empty result; other columns are not read.
@@ -27,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.hashing import Grams, code_points
+from corpusloom.llm.hashing import Grams, code_points, mix
 
 WINDOW = 20
-BLOCK_WINDOWS = 500_000
-BITS = 22
+BLOCK_WINDOWS = 4_000_000
+BITS = 25
 #: Ruby readings (kana) and editor's notes of annotated files.
 RUBY_OR_NOTE = re.compile(r"《[぀-ヿ\s・]{0,60}》|[［\[][＃#][^］\]]*[］\]]")
 NOT_LETTER = re.compile(r"[\W_]+")
@@ -55,56 +58,74 @@ def canonical(text: str | None) -> str:
     return NOT_LETTER.sub("", text).casefold()
 
 
-def _template_table() -> np.ndarray:
-    """Code point to code point: digits to 0, katakana (foreign names and words) to one letter."""
-    table = np.arange(0x10000, dtype=np.uint32)
-    table[ord("0") : ord("9") + 1] = ord("0")
-    table[0x30A1:0x30FB] = 0x30A2
-    return table
-
-
-TEMPLATE = _template_table()
-
-
-def template(points: np.ndarray) -> np.ndarray:
-    """Placeholders of the same length: a run of n digits stays n characters long."""
-    return np.where(points < 0x10000, TEMPLATE[np.minimum(points, 0xFFFF)], points)
+UNIT = re.compile("(?<=[0-9])(?:" + "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True)) + ")")
+LONGEST_UNIT = max(map(len, UNITS))
+ZERO, NINE, FIRST_NAME, LAST_NAME = ord("0"), ord("9"), 0x30A1, 0x30FA
 
 
 class Batch:
-    """The windows of many canonical texts: template hash, slot hash, text number and position."""
+    """The windows of many canonical texts: hashes of template and slots, text number and position.
+
+    Each character of a number, unit or katakana name is replaced by the mark of its type; what it was is hashed apart. Two windows of
+    equal characters have equal templates and slots wherever they stand: a unit that the window cuts from its number, or that might go on
+    behind the window, is no slot of it.
+    """
 
-    def __init__(self, texts: list[str], window: int = WINDOW):
-        points = code_points("".join(texts))
+    def __init__(self, texts: list[str], window: int = WINDOW, typed: bool = True):
+        joined = "".join(texts)
+        points = code_points(joined)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         self.lengths = lengths
         if len(points) < window:
-            self.template = self.raw = np.zeros(0, np.uint64)
+            self.template = self.slots = np.zeros(0, np.uint64)
             self.text = self.position = np.zeros(0, np.int64)
             return
         number = np.repeat(np.arange(len(texts)), lengths)[: len(points) - window + 1]
         position = np.arange(len(points) - window + 1) - starts[number]
-        inside = position + window <= lengths[number]
+        inside = np.flatnonzero(position + window <= lengths[number])
         self.text, self.position = number[inside], position[inside]
-        self.template = Grams(template(points)).hashes(window)[inside]
-        self.raw = Grams(points).hashes(window)[inside]
-
-
-def _items(rows: list[tuple[int, str]]) -> dict[str, np.ndarray]:
+        if not typed:
+            self.template, self.slots = Grams(points).hashes(window)[inside], None
+            return
+        digit = (points >= ZERO) & (points <= NINE)
+        name = (points >= FIRST_NAME) & (points <= LAST_NAME)
+        unit = np.zeros(len(points), bool)
+        # Where the slots of a window begin if it begins here, and end if it ends here.
+        begin, end = np.arange(len(points) + 1), np.arange(len(points) + 1)
+        first = set(starts.tolist())
+        for m in UNIT.finditer(joined):
+            if m.start() not in first:
+                unit[m.start() : m.end()] = True
+                begin[m.start() : m.end()] = m.end()
+        after = np.flatnonzero(digit[:-1] & ~digit[1:]) + 1
+        for k in range(LONGEST_UNIT, 0, -1):
+            at = after[after + k <= len(points)]
+            end[at + k] = at
+        slot = digit | name | unit
+        marks = np.select([digit, unit, name], [np.uint32(ord(SLOT_MARKS[k])) for k in ("number", "unit", "name")], points)
+        raw, masked, filled = Grams(points), Grams(marks), Grams(points, slot)
+        p, e = inside, inside + window
+        lo = np.minimum(begin[p], e)
+        hi = np.maximum(end[e], lo)
+        with np.errstate(over="ignore"):
+            total = masked.sums[hi] - masked.sums[lo] + raw.sums[lo] - raw.sums[p] + raw.sums[e] - raw.sums[hi]
+            self.template = mix(total * raw.back[p])
+            self.slots = mix((filled.sums[hi] - filled.sums[lo]) * raw.back[p])
+
+
+def _items(ids: list[int], b: Batch) -> dict[str, np.ndarray]:
     """Item windows sorted by template hash, with a bitmap over their low bits."""
-    texts = [canonical(t) for _, t in rows]
-    b = Batch(texts)
     order = np.argsort(b.template, kind="stable")
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[(b.template & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
     return {
-        "id": np.array([i for i, _ in rows], np.int64),
+        "id": np.array(ids, np.int64),
         "length": b.lengths,
         "template": b.template[order],
-        "raw": b.raw[order],
-        "item": b.text[order],
-        "position": b.position[order],
+        "slots": None if b.slots is None else b.slots[order],
+        "item": b.text[order].astype(np.int32),
+        "position": b.position[order].astype(np.int32),
         "bitmap": bitmap,
     }
 
@@ -134,7 +155,7 @@ def _leaks(batches: Iterator[pd.DataFrame], items: dict[str, np.ndarray]) -> Ite
     for pdf in batches:
         docs = Batch([canonical(t) for t in pdf["text"]])
         d, i = _matches(docs, items)
-        same_slots = docs.raw[d] == items["raw"][i]
+        same_slots = docs.slots[d] == items["slots"][i]
         exact = _pair_cover(docs, items, d[same_slots], i[same_slots], n_items)
         yield pd.DataFrame(
             {
@@ -168,7 +189,7 @@ def leaked_runs(items: DataFrame, documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     parts = []
     for block in _blocks(items):
-        table = docs.sparkSession.sparkContext.broadcast(_items(block))
+        table = docs.sparkSession.sparkContext.broadcast(_items([i for i, _ in block], Batch([canonical(t) for _, t in block])))
         parts.append(docs.mapInPandas(lambda it, table=table: _leaks(it, table.value), "item_id long, doc_id long, covered long, length long"))
     if not parts:
         return docs.sparkSession.createDataFrame([], "item_id long, doc_id long, covered long, length long")
@@ -252,27 +273,23 @@ def filled_slots(item: list[tuple[int, str]], doc: list[tuple[int, str]], item_a
     return found
 
 
-def _reworded(batches: Iterator[pd.DataFrame], block: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
-    item_templates = [collapse(t) for _, t in block]
-    b = Batch([t for t, _ in item_templates])
-    order = np.argsort(b.template, kind="stable")
-    bitmap = np.zeros(1 << BITS, bool)
-    bitmap[(b.template & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-    items = {"template": b.template[order], "item": b.text[order], "position": b.position[order], "bitmap": bitmap}
-    n = len(block)
+def _reworded(batches: Iterator[pd.DataFrame], items: dict[str, np.ndarray], slots: list[list[tuple[int, str]]]) -> Iterator[pd.DataFrame]:
+    n = len(items["id"])
     for pdf in batches:
         doc_templates = [collapse(t) for t in pdf["text"]]
-        docs = Batch([t for t, _ in doc_templates])
+        docs = Batch([t for t, _ in doc_templates], typed=False)
         d, i = _matches(docs, items)
         pairs, covered = _pair_cover(docs, items, d, i, n)
-        whole = pairs[covered * 2 >= b.lengths[pairs % n]]
+        whole = pairs[covered * 2 >= items["length"][pairs % n]]
         pair_of = docs.text[d] * n + items["item"][i]
+        order = np.argsort(pair_of, kind="stable")
+        low, high = (np.searchsorted(pair_of[order], whole, side) for side in ("left", "right"))
         rows = []
-        for p in whole:
-            at = pair_of == p
-            filled = filled_slots(item_templates[p % n][1], doc_templates[p // n][1], items["position"][i[at]], docs.position[d[at]], int(b.lengths[p % n]))
+        for p, a, b in zip(whole, low, high):
+            at = order[a:b]
+            filled = filled_slots(slots[p % n], doc_templates[p // n][1], items["position"][i[at]].astype(np.int64), docs.position[d[at]], int(items["length"][p % n]))
             if filled > 0:
-                rows.append((block[p % n][0], pdf["doc_id"].iloc[p // n], filled))
+                rows.append((items["id"][p % n], pdf["doc_id"].iloc[p // n], filled))
         yield pd.DataFrame(rows, columns=["item_id", "doc_id", "slots"])
 
 
@@ -282,6 +299,8 @@ def reparameterised(items: DataFrame, documents: DataFrame) -> DataFrame:
     schema = "item_id long, doc_id long, slots long"
     parts = []
     for block in _blocks(items):
-        table = docs.sparkSession.sparkContext.broadcast(block)
-        parts.append(docs.mapInPandas(lambda it, table=table: _reworded(it, table.value), schema))
+        collapsed = [collapse(t) for _, t in block]
+        items_of = _items([i for i, _ in block], Batch([t for t, _ in collapsed], typed=False))
+        table = docs.sparkSession.sparkContext.broadcast((items_of, [x for _, x in collapsed]))
+        parts.append(docs.mapInPandas(lambda it, table=table: _reworded(it, *table.value), schema))
     return (reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)).distinct()

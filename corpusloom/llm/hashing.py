@@ -21,9 +21,9 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Grams:
-    """Prefix hashes of one array of code points: any gram's hash in one step."""
+    """Prefix hashes of one array of code points: any gram's hash in one step. Points outside ``where`` count as absent."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, where: np.ndarray | None = None):
         n = len(points)
         with np.errstate(over="ignore"):
             powers = np.full(n + 1, BASE, np.uint64)
@@ -33,7 +33,8 @@ class Grams:
             self.back[0] = 1
             np.cumprod(self.back, out=self.back)
             self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix(points.astype(np.uint64) + np.uint64(0x632BE5AB)) * powers[:n], out=self.sums[1:])
+            terms = mix(points.astype(np.uint64) + np.uint64(0x632BE5AB)) * powers[:n]
+            np.cumsum(terms if where is None else terms * where, out=self.sums[1:])
 
     def hashes(self, length: int) -> np.ndarray:
         """The hash of points[i : i + length] for every i."""

@@ -32,7 +32,7 @@ def noisy(text):
 
 def test_against_brute_force(spark, monkeypatch):
     random.seed(2)
-    word = lambda n: "".join(random.choice("漢字仮名交じり文abc019カナ") for _ in range(n))
+    word = lambda n: "".join(random.choice("漢字仮名交じり文abckm019カナ年") for _ in range(n))
     items = [(k, word(random.randint(15, 90))) for k in range(25)] + [(90, None), (91, ""), (3, None)]
     docs = []
     for d in range(80):
@@ -85,3 +85,22 @@ def test_reparameterised_copies_are_judged_one_by_one(spark):
 def test_a_verbatim_list_is_no_copy_of_itself(spark):
     item = "".join(f"つぎの品物の値段は {k} 円である。" for k in range(1, 9))
     assert E.reparameterised(*frames(spark, [(1, item)], [(1, "前置き。" + item)])).count() == 0
+
+
+def test_equal_windows_have_equal_templates_and_slots_wherever_they_stand():
+    random.seed(9)
+    word = lambda n: "".join(random.choice("12kminutes年カa") for _ in range(n))
+    inner = [word(E.WINDOW) for _ in range(300)]
+    texts = [word(random.randint(0, 9)) + x + word(random.randint(0, 9)) for x in inner for _ in range(4)]
+    b = E.Batch(texts)
+    seen, templates = {}, set()
+    for t, p, template, slots in zip(b.text, b.position, b.template, b.slots):
+        window = texts[t][p : p + E.WINDOW]
+        assert seen.setdefault(window, (template, slots)) == (template, slots)
+        templates.add(template)
+    assert len({x for x, _ in seen.values()}) == len(templates) < len(set(seen)) == len(set(seen.values()))
+
+
+def test_typed_slots():
+    a, b, c = (E.Batch([x]) for x in ("彼はカナの町まで12km歩いて帰ったという話である", "彼はミヨの町まで35mm歩いて帰ったという話である", "彼はカナの町まであと年歩いて帰ったという話である"))
+    assert (a.template == b.template).sum() >= 3 and not (a.slots == b.slots)[a.template == b.template].any() and not set(a.template) & set(c.template[:9])
