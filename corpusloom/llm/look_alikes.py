@@ -109,13 +109,15 @@ class Trie:
     def __init__(self, table: dict[str, str]):
         self.table = table
         self.arcs: dict[str, tuple[list[str], Trie]] = {}
+        self.by_atom: dict[str, list[tuple[list[str], Trie]]] = {}  # the same arcs by their first atom, "" if they have none
         self.spellings: list[tuple[str, int]] = []
 
     def insert(self, spelling: str, count: int) -> None:
         node = self
         for c in unicodedata.normalize("NFD", spelling):
             if c not in node.arcs:
-                node.arcs[c] = (atoms(c, self.table), Trie(self.table))
+                arc = node.arcs[c] = (atoms(c, self.table), Trie(self.table))
+                node.by_atom.setdefault(arc[0][0] if arc[0] else "", []).append(arc)
             node = node.arcs[c][1]
         node.spellings.append((spelling, count))
 
@@ -128,7 +130,11 @@ class Trie:
             node, states = open_.pop()
             if len(wanted) in states:
                 found += node.spellings
-            for own, child in node.arcs.values():
+            arcs = node.arcs.values()
+            if min(states.values()) == most:
+                # Nothing is left to spend: only arcs of an atom wanted now.
+                arcs = [arc for a in {"", *(wanted[i] for i in states if i < len(wanted))} for arc in node.by_atom.get(a, ())]
+            for own, child in arcs:
                 after = states
                 for a in own:
                     step: dict[int, int] = {}
