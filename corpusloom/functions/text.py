@@ -27,7 +27,9 @@ NOTE_KINDS = [
     ("page_note", "ページ"),
     ("original_text_note", "底本|ママ"),
 ]
+#: Notes, notes that name a heading, ruby with and without the mark at which its base begins.
 NOTE = "［＃[^］]*］"
+HEADING_NOTE = "［＃「([^」]+)」は(?:大|中|小)見出し］"
 RUBY_MARKED = "｜([^｜《》\\n]+)《([^《》\\n]+)》"
 RUBY_KANJI = "([一-鿿々〆ヶ]+)《([^《》\\n]+)》"
 

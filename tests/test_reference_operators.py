@@ -102,17 +102,28 @@ def test_search_needs_every_term(spark):
     assert [(r.chunk_id, r.score) for r in retrieval.search(df, ["TEA", "cup"], 5).collect()] == [("a", 3)]
 
 
-def test_packing_keeps_text_and_bounds():
+def test_chunks_against_their_rule(spark):
     random.seed(2)
-    for _ in range(50):
-        paragraphs = ["".join(random.choice("あいう。！") for _ in range(random.randint(1, 4000))) for _ in range(random.randint(0, 8))]
-        chunks = chunking.packed(paragraphs)
-        assert "".join(chunks).replace("\n", "") == "".join(paragraphs)
-        longest = max((len(s) for p in paragraphs for s in chunking.SENTENCE.findall(p)), default=0)
-        assert all(len(c) <= chunking.MOST + max(100, longest) for c in chunks)
-        assert all(len(c) >= chunking.LEAST or k == len(chunks) - 1 or len(c) + len(chunks[k + 1]) > chunking.LEAST for k, c in enumerate(chunks))
-    assert chunking.packed([]) == []
-    assert chunking.pieces("い。う！え」お", 2) == ["い。", "う！え」お"] and chunking.pieces("い。」う！", 3, chunking.CLOSED_SENTENCE) == ["い。」", "う！"]
+    rows = [(k, [(random.randint(1, 9), random.choice("ab")) for _ in range(random.randint(0, 12))]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, parts array<struct<size: int, kind: string>>")
+    for most, least, joint in ((12, 7, 1), (10, None, 0)):
+        got = {r.id: r.c for r in df.select("id", chunking.chunks_of(F.col("parts"), most, least, joint).alias("c")).collect()}
+        for k, parts in rows:
+            groups = dict(enumerate([[tuple(x) for x in c] for c in got[k]]))
+            assert [x for c in groups.values() for x in c] == parts
+            total = lambda g: sum(s for s, _ in g) + joint * (len(g) - 1)
+            for c, g in groups.items():
+                assert len({kind for _, kind in g}) == 1 and (len(g) == 1 or total(g[:-1]) + g[-1][0] <= most)
+                assert least is None or all(total(g[: n + 1]) < least for n in range(len(g) - 1))
+                if (following := groups.get(c + 1)) is not None:
+                    assert following[0][1] != g[0][1] or total(g) + following[0][0] > most or (least is not None and total(g) >= least)
+
+
+def test_sentence_pieces(spark):
+    df = spark.createDataFrame([(1, "い。う！え」お"), (2, "い。」う！"), (3, "あ" * 9), (4, "")], "id int, text string")
+    cut = lambda most, pattern: {(r.id, r.piece): r.text for r in chunking.sentence_pieces(df, ["id"], most, pattern).collect()}
+    assert cut(2, chunking.SENTENCE) == {(1, 0): "い。", (1, 1): "う！え」お", (2, 0): "い。", (2, 1): "」う！", (3, 0): "あ" * 9, (4, 0): ""}
+    assert cut(3, chunking.CLOSED_SENTENCE) == {(1, 0): "い。", (1, 1): "う！」"[:2], (1, 2): "え」お", (2, 0): "い。」", (2, 1): "う！", (3, 0): "あ" * 9, (4, 0): ""}
 
 
 def test_book_chunks_are_numbered_by_chapter(spark):
@@ -120,12 +131,15 @@ def test_book_chunks_are_numbered_by_chapter(spark):
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = [(r.chunk_id, r.title, r.section, len(r.text)) for r in chunking.book_chunks(docs).orderBy("chunk_id").collect()]
     assert got == [("1_CH00_001", None, None, 5), ("1_CH01_001", "One", None, 700), ("1_CH01_002", "One", "Part", 304), ("1_CH02_001", "Two", None, 2), ("1_CH02_002", "Two", "Part", 603)]
-    small = chunking.chunked_book("# A\n" + "あ" * 700 + "\n## B\nい。\n## C\n" + "う" * 250)
-    assert [(c, n, len(t)) for c, n, _, _, t in small] == [(1, 1, 703), (1, 3, 250)]
+    small = spark.createDataFrame([(1, "# A\n" + "あ" * 700 + "\n## B\nい。\n## C\n" + "う" * 250)], "doc_id long, text string")
+    assert [(r.chapter, r.number, len(r.text)) for r in chunking.book_chunks(small).orderBy("number").collect()] == [(1, 1, 703), (1, 3, 250)]
+    long = spark.createDataFrame([(1, "あ。" * 90_000)], "doc_id long, text string")
+    got = [len(r.text) for r in chunking.book_chunks(long).orderBy("number").collect()]
+    assert got == [1500] * 120
 
 
 def test_running_totals_by_blocks(spark):
-    rows = [("g", f"{k:03d}", k) for k in range(57)] + [("h", "000", 5)]
+    rows = [("g", f"{k:03d}", k) for k in range(57)] + [("h", "000", 5), (None, "000", 1), (None, "011", 2)]
     df = spark.createDataFrame(rows, "g string, id string, v long").repartition(5)
     got = {(r.g, r.id): r.v_total for r in chunking.running_totals(df, ["g"], ["id"], F.substring("id", 1, 2), ["v"]).collect()}
     assert got == {(g, i): sum(v for h, j, v in rows if h == g and j <= i) for g, i, _ in rows}
@@ -140,14 +154,15 @@ def test_as_of_against_brute_force(spark):
     assert {r.id: r.page_at for r in got.collect()} == want
 
 
-def test_paragraph_chunks_are_slices_of_their_text(spark):
+def test_line_chunks_are_slices_of_their_text(spark):
     random.seed(9)
     texts = {k: "".join(random.choice("あい。「」\n　 ") for _ in range(random.randint(0, 3000))) for k in range(20)}
-    docs = spark.createDataFrame([*texts.items(), (99, None)], "doc_id long, text string")
-    rows = chunking.paragraph_chunks(docs, 50).collect()
-    assert rows and all(texts[r.doc_id][r.char_start : r.char_end] == r.text for r in rows)
+    docs = spark.createDataFrame([*[(k, k % 2 == 0, t) for k, t in texts.items()], (99, False, None)], "doc_id long, fiction boolean, text string")
+    rows = sorted(chunking.line_chunks(docs, ["doc_id"], 50).collect(), key=lambda r: (r.doc_id, r.number))
+    bare = lambda t: [x for x in t.split("\n") if x.strip()]
+    assert rows and all(bare(texts[r.doc_id][r.char_start : r.char_end]) == bare(r.text) for r in rows)
     for k, t in texts.items():
-        assert "".join(r.text for r in sorted(rows, key=lambda r: r.number) if r.doc_id == k) == "".join(x.strip() for x in t.split("\n"))
+        assert "".join(r.text.replace("\n", "") for r in rows if r.doc_id == k) == "".join(bare(t))
 
 
 def test_corpus_chunks_are_packed(spark):
