@@ -50,11 +50,32 @@ def captured_changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> D
 
 
 def replaced(array: str, pairs: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """df with the elements of an array column renamed by pairs (old, new); order is kept, unknown elements stay."""
-    spread = df.select(key, F.posexplode(array).alias("_at", "old")).join(pairs, "old", "left")
-    renamed = spread.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("new", "old").alias("v")))).alias("_items"))
-    kept = [F.coalesce(F.transform("_items", lambda x: x["v"]), F.col(array)).alias(c) if c == array else F.col(c) for c in df.columns]
-    return df.join(renamed, key, "left").select(*kept)
+    """df with the elements of an array column renamed by pairs (old, new); order is kept, unknown elements stay, repeated rows too."""
+    once = df.select(key, array).where(F.size(array) > 0).distinct()
+    spread = once.select(key, F.col(array).alias("_array"), F.posexplode(array).alias("_at", "old")).join(pairs, "old", "left")
+    renamed = spread.groupBy(F.col(key).alias("_key"), "_array").agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("new", "old").alias("v")))).alias("_items"))
+    joined = df.join(renamed, df[key].eqNullSafe(F.col("_key")) & (df[array] == F.col("_array")), "left")
+    kept = [F.coalesce(F.transform("_items", lambda x: x["v"]), df[array]).alias(c) if c == array else df[c] for c in df.columns]
+    return joined.select(*kept)
+
+
+def updated(df: DataFrame, keys: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """df with the values set in the rows whose key is among the keys given."""
+    marked = df.join(keys.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    return marked.select(*[F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def replaced_children(children: DataFrame, deleted: DataFrame, key: str, fresh: DataFrame) -> DataFrame:
+    """The children of rows that stay, and the fresh ones of those that went."""
+    return delete_cascade(children, deleted, key).unionByName(fresh.join(deleted.select(key).distinct(), key, "left_semi"))
+
+
+def revisions(rows: DataFrame, key: str, version: str, edited: Column, change: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows after the edit, history): edited rows get the change and the next version; the history holds them as they were."""
+    after = rows.select(
+        *[F.when(edited, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.when(edited, F.coalesce(c, F.lit(0)) + 1).otherwise(F.col(c)).alias(c) if c == version else F.col(c) for c in rows.columns]
+    )
+    return after, rows.where(edited)
 
 
 def erased(df: DataFrame, which: Column, blanked: Sequence[str], hashed: Sequence[str]) -> DataFrame:

@@ -44,6 +44,18 @@ def fingerprint(df: DataFrame, group: str, *parts: str) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("records"), F.sum(number).cast("string").alias("digest"))
 
 
-def first_of(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_n = 1").drop("_n")
+def first_of(df: DataFrame, group: list[str], *order: Column | str) -> DataFrame:
+    """The row of each group with the greatest values of order (nulls lowest); partial maxima per task, ties by the other columns."""
+    rest = [c for c in df.columns if c not in group]
+    best = df.groupBy(*group).agg(F.max(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"_{k}") for k, c in enumerate(order)], *rest)).alias("_best"))
+    return best.select(*group, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def samples(df: DataFrame, key: str, tests: dict[str, Column], most: int = 20) -> DataFrame:
+    """(name, rows, sample): for each test the number of rows for which it is true, and their ``most`` smallest keys, joined by commas."""
+    hits = F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()])
+    each = df.select(F.explode(F.array_compact(hits)).alias("name"), F.col(key).alias("key"))
+    counted = each.groupBy("name").agg(F.count("*").alias("rows"))
+    ranked = each.where("key is not null").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("key"))).where(F.col("_n") <= most)
+    listed = ranked.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("sample"))
+    return counted.join(listed, "name", "left").select("name", "rows", F.coalesce("sample", F.lit("")).alias("sample"))

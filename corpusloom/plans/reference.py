@@ -157,22 +157,23 @@ def _fts_sql(name: str, terms: list[str]) -> str:
 _FTS = f"with c as {_last('source_chunks', 'chunk_id')}, " + ", ".join(f"{n} as {_fts_sql(n, t)}" for n, t in _TERMS.items())
 
 
-def _search(spark: SparkSession, d: str, name: str) -> DataFrame:
-    chunks = mutations.latest(table(spark, d, "source_chunks").select("chunk_id", "source_id", "speaker_role", "text", "updated_at"), ["chunk_id"], "updated_at")
-    return retrieval.search(chunks, _TERMS[name], 40).select(F.lit(name).alias("query"), "chunk_id", "source_id", F.col("speaker_role").alias("role"), "score")
+def _search(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """The hits of the queries named, scored in one scan of the chunks."""
+    found = retrieval.search_latest(table(spark, d, "source_chunks"), {n: _TERMS[n] for n in names}, 40, ["source_id", "speaker_role"])
+    return found.select("query", "chunk_id", "source_id", F.col("speaker_role").alias("role"), "score")
 
 
 @query(_FTS + " " + " union all ".join(f"select query, chunk_id, score from {n}" for n in _TERMS))
 def v6_full_text(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_search(spark, d, n).select("query", "chunk_id", "score") for n in _TERMS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _search(spark, d, *_TERMS).select("query", "chunk_id", "score")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    lists = []
-    for name in ("garden", "letter", "park"):
-        found = _search(spark, d, name).withColumn("query", F.lit("all"))
-        lists.append(found.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id"))))
+    """One list of three: each query's hits are a list, the earlier one wins."""
+    found = _search(spark, d, "garden", "letter", "park")
+    # Ranked lists of at most 40 rows.
+    placed = found.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id")))
+    lists = [placed.where(F.col("query") == name).withColumn("query", F.lit("all")) for name in ("garden", "letter", "park")]
     return retrieval.merged(lists)
 
 
@@ -214,11 +215,11 @@ def g4_longest_common_runs(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.similarity_verdicts(texts, _drafts(spark, d))
 
 
-@query("select chunk_id, contains(text, '�') or contains(text, '〓') as marked from source_chunks where text is not null and (contains(text, '�') or contains(text, '〓'))")
+@query("select chunk_id, contains(text, '�') as replaced, contains(text, '〓') as gaiji, round((length(text) - length(replace(text, '�', ''))) / length(text), 6) as ratio from source_chunks where contains(text, '�') or contains(text, '〓')")
 def ref_garble_marks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "source_chunks").where("text is not null")
-    marked = F.contains("text", F.lit("�")) | F.contains("text", F.lit("〓"))
-    return c.where(marked).select("chunk_id", marked.alias("marked"))
+    lost, gaiji = F.contains("text", F.lit("�")), F.contains("text", F.lit("〓"))
+    ratio = (F.length("text") - F.length(F.replace("text", F.lit("�")))) / F.length("text")
+    return table(spark, d, "source_chunks").where(lost | gaiji).select("chunk_id", lost.alias("replaced"), gaiji.alias("gaiji"), F.round(ratio, 6).alias("ratio"))
 
 
 # Aggregates, windows, set operations
@@ -287,7 +288,10 @@ def a33_cube(spark: SparkSession, d: str) -> DataFrame:
 @query("""select card_id, thought_id, version from (select card_id, thought_id, version, row_number() over (partition by thought_id order by version desc, updated_at desc, card_id) as n from thought_cards where thought_id is not null) where n = 1""")
 def w1_latest_version(spark: SparkSession, d: str) -> DataFrame:
     cards = table(spark, d, "thought_cards").where("thought_id is not null")
-    return quality.first_of(cards, ["thought_id"], F.desc("version"), F.desc("updated_at"), F.col("card_id")).select("card_id", "thought_id", "version")
+    # Of equal versions and times the smallest id: a second step, over the ties only.
+    order = ["version", "updated_at"]
+    best = cards.groupBy("thought_id").agg(F.max(F.struct(*order)).alias("b")).select("thought_id", "b.*")
+    return cards.join(best, ["thought_id", *order]).groupBy("thought_id", "version").agg(F.min("card_id").alias("card_id")).select("card_id", "thought_id", "version")
 
 
 @query("""select chunk_id, cast(sum(length(text) + 1) over (partition by source_id, chapter_id order by chunk_id, updated_at rows between unbounded preceding and 1 preceding) as bigint) as char_offset,
@@ -306,10 +310,13 @@ def t37_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     return chunking.budget_prefix(chunks, ["source_id", "chapter_id"], ["chunk_id", "updated_at"], F.substring("chunk_id", 1, 21), 1200).select("chunk_id", "used")
 
 
-@query("select record_id from corpus_snapshots where snapshot_no = 6 and record_table = 'sources' except select record_id from corpus_snapshots where snapshot_no = 1 and record_table = 'sources'")
+@query("""with n as (select min(snapshot_no) as a, max(snapshot_no) as b from corpus_snapshots)
+select record_table, record_id from corpus_snapshots, n where snapshot_no = b except select record_table, record_id from corpus_snapshots, n where snapshot_no = a""")
 def u4_except(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "corpus_snapshots").where("record_table = 'sources'")
-    return s.where("snapshot_no = 6").select("record_id").subtract(s.where("snapshot_no = 1").select("record_id"))
+    """What the last snapshot has and the first has not."""
+    s = table(spark, d, "corpus_snapshots")
+    first, last = s.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    return s.where(F.col("snapshot_no") == last).select("record_table", "record_id").subtract(s.where(F.col("snapshot_no") == first).select("record_table", "record_id"))
 
 
 @query("select chunk_id from source_chunks intersect select chunk_id from chunk_deletions")
@@ -462,10 +469,19 @@ def st11_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     return jobs.windowed_counts(events, "6 hours", "40 days").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
-@query()
+@query("select time_bucket(interval '6 hours', ts) as window_start, event_type, count(*) as events, round(sum(value), 2) as total from events where ts is not null group by all")
 def st11_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The same windows through a stream: every batch counts its own rows, and the counts are summed, however late or early rows come."""
-    return jobs.run_merged(jobs.table_stream(spark, d, "events"), "windows", lambda rows: jobs.windowed_counts(rows, "6 hours", "1 hour"), jobs.summed_counts)
+    found = jobs.run_merged(jobs.table_stream(spark, d, "events"), "windows", lambda rows: jobs.windowed_counts(rows, "6 hours", "1 hour"), jobs.summed_counts)
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", F.round("total", 2).alias("total"))
+
+
+@query("""with s as (select event_type, value, unnest([time_bucket(interval '2 hours', ts), time_bucket(interval '2 hours', ts) - interval '2 hours', time_bucket(interval '2 hours', ts) - interval '4 hours']) as window_start from events where ts is not null)
+select window_start, event_type, count(*) as events from s group by all""")
+def st11_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of six hours, every two hours."""
+    found = jobs.windowed_counts(table(spark, d, "events"), "6 hours", "40 days", "2 hours")
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
 @query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval '12 hours' then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
@@ -476,12 +492,12 @@ def st11_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events")
 
 
-@query()
+@query("select distinct snapshot_no, record_table, record_id, delivered_at as delivered from corpus_snapshots")
 def st6_stream_changes(spark: SparkSession, d: str) -> DataFrame:
     """Snapshot rows through a stream, without those sent twice, however far apart."""
 
     def distinct(rows: DataFrame) -> DataFrame:
-        return rows.select("snapshot_no", "record_table", "record_id", F.col("delivered_at").cast("timestamp").alias("delivered")).distinct()
+        return rows.select("snapshot_no", "record_table", "record_id", F.col("delivered_at").alias("delivered")).distinct()
 
     return jobs.run_merged(jobs.table_stream(spark, d, "corpus_snapshots"), "changes", distinct, lambda parts: parts.distinct())
 
@@ -490,3 +506,9 @@ def st6_stream_changes(spark: SparkSession, d: str) -> DataFrame:
 def st3_last_heartbeat(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("user_id is not null and ts is not null")
     return e.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.count("*").alias("events"))
+
+
+@query("select user_id, max(ts) as last_ts, count(*) as events from events where user_id is not null and ts is not null group by 1")
+def st3_stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same from keyed state of a stream."""
+    return jobs.last_states(jobs.table_stream(spark, d, "events"), "heartbeats").withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))

@@ -73,11 +73,12 @@ def u5_subset(spark: SparkSession, d: str) -> DataFrame:
     return cards.select("card_id").distinct().join(lacking, "card_id", "left").select("card_id", F.col("lacks").isNull().alias("complete"))
 
 
-@query("""with a as (select parent_id, count(*) as n from corpus_snapshots where snapshot_no = 1 group by 1), b as (select parent_id, count(*) as n from corpus_snapshots where snapshot_no = 6 group by 1)
+@query("""with a as (select parent_id, count(*) as n from corpus_snapshots where snapshot_no = (select min(snapshot_no) from corpus_snapshots) group by 1), b as (select parent_id, count(*) as n from corpus_snapshots where snapshot_no = (select max(snapshot_no) from corpus_snapshots) group by 1)
 select coalesce(a.parent_id, b.parent_id) as parent_id, coalesce(a.n, 0) as before, coalesce(b.n, 0) as after from a full join b on a.parent_id = b.parent_id where a.n is distinct from b.n and coalesce(a.parent_id, b.parent_id) is not null""")
 def u6_count_differences(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "corpus_snapshots").where("parent_id is not null and snapshot_no in (1, 6)")
-    n = s.groupBy("parent_id").agg(F.count_if(F.col("snapshot_no") == 1).alias("before"), F.count_if(F.col("snapshot_no") == 6).alias("after"))
+    s = table(spark, d, "corpus_snapshots")
+    first, last = s.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    n = s.where("parent_id is not null").groupBy("parent_id").agg(F.count_if(F.col("snapshot_no") == first).alias("before"), F.count_if(F.col("snapshot_no") == last).alias("after"))
     return n.where("before <> after")
 
 
@@ -180,6 +181,6 @@ def j4_multiway_join(spark: SparkSession, d: str) -> DataFrame:
 @query("""with h as (select source_id, count(*) as chunks, count(*) filter (status = 'disabled') > 0 as disabled from source_chunks where source_id is not null group by 1)
 select s.source_id, s.title, coalesce(h.chunks, 0) as chunks, coalesce(h.disabled, false) as disabled from """ + ref._last("sources", "source_id") + """ s left join h using (source_id)""")
 def c26_source_overview(spark: SparkSession, d: str) -> DataFrame:
-    sources = quality.first_of(table(spark, d, "sources").where("source_id is not null"), ["source_id"], F.desc("updated_at")).select("source_id", "title")
+    sources = quality.first_of(table(spark, d, "sources").where("source_id is not null"), ["source_id"], "updated_at").select("source_id", "title")
     seen = table(spark, d, "source_chunks").where("source_id is not null").groupBy("source_id").agg(F.count("*").alias("chunks"), (F.count_if(F.col("status") == "disabled") > 0).alias("disabled"))
     return sources.join(seen, "source_id", "left").select("source_id", "title", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("disabled", F.lit(False)).alias("disabled"))

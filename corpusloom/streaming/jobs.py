@@ -46,10 +46,11 @@ def run_merged(stream: DataFrame, name: str, partial, merge) -> DataFrame:
     return merge(spark.read.schema(schema).parquet(f"{out}/*"))
 
 
-def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
-    """(window_start, event_type, events, total) of tumbling windows; rows later than ``late`` are dropped."""
+def windowed_counts(events: DataFrame, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """(window_start, event_type, events, total) of tumbling windows, or with ``slide`` of sliding ones; in a stream that keeps state, rows
+    later than ``late`` are dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "events", "total")
+    return timed.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "events", "total")
 
 
 def summed_counts(parts: DataFrame) -> DataFrame:
@@ -63,6 +64,22 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
+def last_states(stream: DataFrame, name: str) -> DataFrame:
+    """What ``latest_state`` holds of every key when the stream has been read: each batch writes the keys it touched, the last counts."""
+    spark, out = stream.sparkSession, fresh_path(stream.sparkSession, name)
+    schema = "user_id long, last_ts timestamp, events long"
+    spark.createDataFrame([], schema).write.parquet(f"{out}/none")
+
+    def each(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{number}")
+
+    updates = latest_state(stream).writeStream.outputMode("update").foreachBatch(each)
+    updates.option("checkpointLocation", fresh_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    # A key's count only grows.
+    written = spark.read.schema(schema).parquet(f"{out}/*")
+    return written.groupBy("user_id").agg(F.max(F.struct("events", "last_ts")).alias("x")).select("user_id", "x.last_ts", "x.events")
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """(user_id, last_ts, events) after each batch, kept as state: the last heartbeat of every key."""
 
