@@ -82,6 +82,18 @@ def displayed_ruby(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, RUBY_MARKED, "$1（$2）"), RUBY_KANJI, "$1（$2）")
 
 
+def bare_reading(c: Column) -> Column:
+    """A reading without white space and long marks."""
+    return F.regexp_replace(F.regexp_replace(c, f"{BLANK}+", ""), "ー", "")
+
+
+def joined_lines(c: Column) -> Column:
+    """Single line breaks taken out of a text: with the hyphen between small letters, alone between Japanese, else for a blank."""
+    ja = r"[\x{3000}-\x{30ff}\x{3400}-\x{9fff}\x{ff00}-\x{ff60}]"
+    whole = F.regexp_replace(c, r"([a-zà-ÿ])-\n([a-zà-ÿ])", "$1$2")
+    return F.regexp_replace(F.regexp_replace(whole, rf"({ja})\n({ja})", "$1$2"), r"([^\n])\n([^\n])", "$1 $2")
+
+
 def has_japanese(c: Column) -> Column:
     return c.rlike("[\\u3040-\\u30ff\\u3400-\\u9fff]")
 

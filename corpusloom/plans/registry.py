@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import problems, reference, reference_more
+from corpusloom.plans import problems, reference, reference_more, reference_texts
 
-MODULES = [problems, reference, reference_more]
+MODULES = [problems, reference, reference_more, reference_texts]
 
 
 def queries() -> dict:
