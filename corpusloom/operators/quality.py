@@ -37,11 +37,11 @@ def repeated(df: DataFrame, key: str, least_chars: int = 30) -> DataFrame:
     return long.join(often, key)
 
 
-def fingerprint(df: DataFrame, group: str, *parts: str) -> DataFrame:
+def fingerprint(df: DataFrame, group: str | list[str], *parts: str) -> DataFrame:
     """(group, records, digest): does not depend on the order of rows, and is summed per task, so no group is gathered."""
     line = F.concat_ws("\t", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
     number = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.groupBy(group).agg(F.count("*").alias("records"), F.sum(number).cast("string").alias("digest"))
+    return df.groupBy(*([group] if isinstance(group, str) else group)).agg(F.count("*").alias("records"), F.sum(number).cast("string").alias("digest"))
 
 
 def first_of(df: DataFrame, group: list[str], *order: Column | str) -> DataFrame:

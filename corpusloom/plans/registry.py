@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import problems, reference, reference_more, reference_texts
+from corpusloom.plans import problems, reference, reference_evidence, reference_more, reference_tables, reference_texts
 
-MODULES = [problems, reference, reference_more, reference_texts]
+MODULES = [problems, reference, reference_more, reference_texts, reference_evidence, reference_tables]
 
 
 def queries() -> dict:
