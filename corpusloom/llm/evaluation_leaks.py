@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.hashing import Grams, code_points, mix
+from corpusloom.functions.hashing import Grams, code_points, mix
 
 WINDOW = 20
 BLOCK_WINDOWS = 4_000_000

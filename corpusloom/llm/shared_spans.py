@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.hashing import Grams, code_points, mix
+from corpusloom.functions.hashing import Grams, code_points, mix
 from corpusloom.runtime import checkpoint, joined_hot
 
 SPAN = 60
