@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import nearest
 from corpusloom.operators import chunking, mutations, quality, retrieval
+from corpusloom.plans import chunking_sql
 from corpusloom.runtime import broadcast_if_small, table
 from corpusloom.sources import readers
 from corpusloom.streaming import jobs
@@ -411,7 +412,7 @@ def t20_hashes_and_ids(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", F.sha2("text", 256).alias("digest"), F.sha2(F.concat(F.lit("v1:"), "text"), 256).alias("versioned"), tx.hashed_id("c_", F.col("source_id"), F.col("chunk_id")).alias("stable_id"))
 
 
-@query()
+@query(chunking_sql.BOOK)
 def t15_book_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.book_chunks(table(spark, d, "documents").where("doc_kind = 'book_text'"))
 

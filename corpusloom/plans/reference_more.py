@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, quality
+from corpusloom.plans import chunking_sql
 from corpusloom.plans import reference as ref
 from corpusloom.runtime import broadcast_if_small, table
 
@@ -151,7 +152,7 @@ def a22_routing_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return first.join(own, "query_id").agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("label") == F.col("own"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
 
 
-@query()
+@query(chunking_sql.CORPUS)
 def t28_paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Essays, letters and annotated files; fiction is what a source of the same work calls a novel, short story or sketch."""
     docs = table(spark, d, "documents").where("doc_kind in ('essay', 'letter', 'annotated_file')")

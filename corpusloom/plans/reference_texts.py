@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, transcripts
+from corpusloom.plans import chunking_sql
 from corpusloom.plans.registering import Registered
 from corpusloom.runtime import table
 
@@ -57,14 +58,14 @@ def t19_monologues(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.monologues(transcripts.turns(_documents(spark, d, "qa_transcript"), OWN, OTHER))
 
 
-@query()
+@query(chunking_sql.answers(_PAIRS))
 def t18_interview_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Answers packed into chunks, each with its question."""
     found = transcripts.pairs(transcripts.turns(_documents(spark, d, "qa_transcript"), OWN, OTHER))
     return transcripts.answer_chunks(found)
 
 
-@query()
+@query(chunking_sql.SEGMENTS)
 def t30_segments(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts in segments of at most 3,000 characters, cut at lines and, in long ones, at sentences."""
     return transcripts.segments(_documents(spark, d, "qa_transcript").select("doc_id", "text"), 3000)
@@ -130,7 +131,7 @@ def t23_ruby_pairs(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("base", "reading").agg(F.count("*").alias("uses"), F.countDistinct("doc_id").alias("documents"))
 
 
-@query()
+@query(chunking_sql.TABLE)
 def t26_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Chapters of annotated files, cut at notes that name a heading."""
     chapters = chunking.annotated_chapters(_documents(spark, d, "annotated_file").select("doc_id", "text"))
