@@ -112,3 +112,16 @@ def answers(pairs: str) -> str:
         + cut("packed", "listed", "doc_id, pair, question", ch.MOST, ch.LEAST)
         + f" select doc_id, pair, cast(number + 1 as integer) as number, question, {joined(chr(39) * 2)} as text from packed"
     )
+
+
+def diversified(rows: str, keys: str, out: str, most: int = 10, per_source: int = 5, per_role: int = 3) -> str:
+    """The rows (keys, query, chunk_id, source_id, role, position) that are kept, as ``out``."""
+    take = (
+        f"(len(s.kept) < {most} and len(list_filter(s.sources, lambda x: x is not distinct from p.source)) < {per_source} and "
+        f"(p.role is null or len(list_filter(s.roles, lambda x: x is not distinct from p.role)) < {per_role}))"
+    )
+    step = f"lambda s, p: {{'kept': case when {take} then list_append(s.kept, p.id) else s.kept end, 'sources': case when {take} then list_append(s.sources, p.source) else s.sources end, 'roles': case when {take} then list_append(s.roles, p.role) else s.roles end, 'id': p.id, 'source': p.source, 'role': p.role}}"
+    empty = "'kept': []::varchar[], 'sources': []::varchar[], 'roles': []::varchar[]"
+    return f"""{out}_l as (select query, list({{{empty}, 'id': chunk_id, 'source': source_id, 'role': role}} order by position) as parts from {rows} group by 1),
+{out}_f as (select query, unnest(list_reduce(parts, {step}, {{{empty}, 'id': null::varchar, 'source': null::varchar, 'role': null::varchar}}).kept) as chunk_id from {out}_l),
+{out} as (select {keys} from {rows} join {out}_f using (query, chunk_id))"""

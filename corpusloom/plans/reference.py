@@ -185,9 +185,11 @@ def e1_merged_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("chunk_id", "list", "score", F.col("position").cast("long").alias("position"))
 
 
-@query()
+@query(_FTS + """, u as (select 0 as list, * from garden union all select 1, * from letter union all select 2, * from park),
+k as (select *, row_number() over (partition by chunk_id order by list) as n from u),
+m as (select 'all' as query, chunk_id, source_id, speaker_role as role, score, list, row_number() over (order by score desc, list, chunk_id) as position from k where n = 1), """ + chunking_sql.diversified("m", "*", "chosen") + " select query, chunk_id, source_id, role, score, list, position from chosen")
 def e3_diversified_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.diversified(_fused(spark, d))
+    return retrieval.diversified(_fused(spark, d)).withColumn("position", F.col("position").cast("long"))
 
 
 # Guards: verbatim reuse

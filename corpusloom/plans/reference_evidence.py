@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import nearest
 from corpusloom.operators import mutations, retrieval
+from corpusloom.plans import chunking_sql
 from corpusloom.plans import reference as ref
 from corpusloom.plans.registering import Registered
 from corpusloom.runtime import table
@@ -143,11 +144,11 @@ def e2_ranked_evidence(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.ranked_by_directness(_merged(spark, d)).select("query", "chunk_id", F.col("position").cast("long").alias("position"))
 
 
-@query()
+@query(_CARDS + _MERGED + f", o as (select query, chunk_id, source_id, corpus_role as role, row_number() over (partition by query order by {_DIRECT} desc, score desc, chunk_id) as position from merged), " + chunking_sql.diversified("o", "*", "chosen") + " select query, chunk_id, source_id, role, position from chosen")
 def e4_selected_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Ranked first, then cut: ten at most, five of a source, three of a role."""
     ranked = retrieval.ranked_by_directness(_merged(spark, d)).withColumn("role", F.col("corpus_role"))
-    return retrieval.diversified(ranked).select("query", "chunk_id", "source_id", "role", "position")
+    return retrieval.diversified(ranked).select("query", "chunk_id", "source_id", "role", F.col("position").cast("long").alias("position"))
 
 
 @query(_CARDS + _MERGED + f"select query, source_id, min(position) as position from merged where {_DIRECT} group by all")
