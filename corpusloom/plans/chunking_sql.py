@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from corpusloom.functions import text as tx
 from corpusloom.operators import chunking as ch
 
@@ -125,3 +127,32 @@ def diversified(rows: str, keys: str, out: str, most: int = 10, per_source: int
     return f"""{out}_l as (select query, list({{{empty}, 'id': chunk_id, 'source': source_id, 'role': role}} order by position) as parts from {rows} group by 1),
 {out}_f as (select query, unnest(list_reduce(parts, {step}, {{{empty}, 'id': null::varchar, 'source': null::varchar, 'role': null::varchar}}).kept) as chunk_id from {out}_l),
 {out} as (select {keys} from {rows} join {out}_f using (query, chunk_id))"""
+
+
+def nfkc(column: str) -> str:
+    """Compatibility composition for characters that have one counterpart, by rule from the Unicode tables, and the ellipsis; DuckDB has only the canonical one."""
+    single = {c: k for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]) if len(k := unicodedata.normalize("NFKC", c)) == 1 and k != c}
+    quoted = lambda chars: "".join(chars).replace("'", "''")
+    return f"nfc_normalize(replace(translate({column}, '{quoted(single)}', '{quoted(single.values())}'), '…', '...'))"
+
+
+def without_noise(column: str) -> str:
+    noise = tx.NOISE.replace("'", "''")
+    return f"regexp_replace({column}, '{noise}', '', 'g')"
+
+
+def comparable(column: str) -> str:
+    return f"regexp_replace({without_noise(nfkc(column))}, '[\\x1c-\\x1f\\x{{85}}]', '', 'g')"
+
+
+def similarity(drafts: str, texts: str, n: int = 10, longest: int = 20, most: float = 0.05) -> str:
+    """Verdicts of drafts (draft_id, text) against texts (id, text)."""
+    return f"""with dr as (select distinct draft_id, {comparable("text")} as text from ({drafts})), c as (select row_number() over () as cid, id, text from (select distinct id, {comparable("text")} as text from ({texts}))),
+g as (select draft_id, k, substr(text, k, {n}) as gram from dr, lateral (select unnest(generate_series(1, length(text) - {n - 1})) as k)),
+t as (select cid, j, substr(text, j, {n}) as gram from c, lateral (select unnest(generate_series(1, length(text) - {n - 1})) as j)),
+m as (select draft_id, cid, k, j, gram from g join t using (gram)),
+r as (select *, k - row_number() over (partition by draft_id, cid, k - j order by k) as run from m),
+l as (select draft_id, max(size) as longest from (select draft_id, count(*) + {n - 1} as size from r group by draft_id, cid, k - j, run) group by 1),
+s as (select draft_id, count(distinct cid) as chunks, count(distinct gram) as shared from m group by 1), a as (select draft_id, count(distinct gram) as grams from g group by 1)
+select dr.draft_id, coalesce(l.longest, 0) as longest, coalesce(s.chunks, 0) as chunks, round(coalesce(shared / grams, 0), 4) as ratio, coalesce(l.longest, 0) < {longest} and coalesce(shared / grams, 0) <= {most} as passed
+from dr left join l using (draft_id) left join s using (draft_id) left join a using (draft_id)"""

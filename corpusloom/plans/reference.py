@@ -210,7 +210,7 @@ def g3_shared_grams(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.shared_grams(texts, _drafts(spark, d)).select("draft_id", "id", "grams")
 
 
-@query()
+@query(chunking_sql.similarity("select card_id as draft_id, summary as text from creative_cards where cast(right(card_id, 8) as integer) % 50 = 0 and summary is not null", "select chunk_id as id, text from source_chunks where text is not null"))
 def g4_longest_common_runs(spark: SparkSession, d: str) -> DataFrame:
     """The longest common substring of each draft with the texts, from 10 characters on, its share of n-grams found in any text, and the
     verdict at 20 and 0.05; both sides without white space and punctuation."""
@@ -456,7 +456,10 @@ def t35_slugs(spark: SparkSession, d: str) -> DataFrame:
     return w.select("canonical_work_id", tx.slug(F.col("canonical_title"), "untitled").alias("slug"), tx.has_japanese(F.col("canonical_title")).alias("japanese"))
 
 
-@query()
+@query(
+    f"""select canonical_work_id, translate(regexp_replace({chunking_sql.nfkc("canonical_title")}, '[\\s\\p{{Z}}\\x{{85}}]+', '', 'g'), '{tx.OLD_KANJI + tx.KATAKANA}', '{tx.NEW_KANJI + tx.HIRAGANA}') as folded,
+{chunking_sql.without_noise(chunking_sql.nfkc("canonical_title"))} as bare from canonical_works where canonical_title is not null"""
+)
 def t2_folded_titles(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "canonical_works").where("canonical_title is not null")
     return w.select("canonical_work_id", tx.folded_title(tx.nfkc("canonical_title")).alias("folded"), tx.without_noise(tx.nfkc("canonical_title")).alias("bare"))

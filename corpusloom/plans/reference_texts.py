@@ -71,7 +71,12 @@ def t30_segments(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.segments(_documents(spark, d, "qa_transcript").select("doc_id", "text"), 3000)
 
 
-@query()
+_WORDS = [w.replace("ー", "") for w in transcripts.FILLERS]
+_EATEN = " ".join(f"when starts_with(s, '{w}') then substr(s, {len(w) + 1})" for w in _WORDS)
+
+
+@query(rf"""with b as (select distinct chunk_id, text, regexp_replace(text, '[\s\p{{Z}}\p{{P}}ー]+', '', 'g') as bare from parsed_chunks where text is not null)
+select chunk_id from b where length(bare) between 1 and {transcripts.MOST_FILLER} and list_reduce(list_transform(generate_series(1, {transcripts.MOST_FILLER}), lambda i: ''), lambda s, x: case {_EATEN} else s end, bare) = ''""")
 def t31_fillers(spark: SparkSession, d: str) -> DataFrame:
     """Parsed chunks that say nothing but short replies."""
     chunks = table(spark, d, "parsed_chunks").where("text is not null").select("chunk_id", "text").distinct()
