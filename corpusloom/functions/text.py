@@ -116,3 +116,22 @@ def nfkc(s: pd.Series) -> pd.Series:
 def comparable(c: Column) -> Column:
     """NFKC without white space (control characters that Python counts as such, too) and punctuation."""
     return F.regexp_replace(without_noise(nfkc(c)), r"[\x1c-\x1f\x85]", "")
+
+
+def without_stamp(line: Column) -> Column:
+    """A trimmed line without the time stamp at its head, and without its spoken form behind it (``3:08 3分8秒``) if that names the same time;
+    null if nothing else stands there."""
+    bare = strip(line)
+    head = r"^\[?(\d{1,2}):(\d{2})\]?\s*"
+    spoken = r"^\s*(?:(\d+)\s*分)?\s*(?:(\d+)\s*秒)?"
+    rest = F.regexp_replace(bare, head, "")
+    number = lambda c, pattern, k: F.nullif(F.regexp_extract(c, pattern, k), F.lit("")).cast("int")
+    minutes, seconds = number(bare, head, 1), number(bare, head, 2)
+    said_minutes, said_seconds = number(rest, spoken, 1), number(rest, spoken, 2)
+    same = (
+        ((said_minutes == minutes) & (said_seconds == seconds))
+        | (said_minutes.isNull() & (said_seconds == seconds) & (minutes == 0))
+        | ((said_minutes == minutes) & said_seconds.isNull() & (seconds == 0))
+    )
+    text = F.when(minutes.isNull(), bare).when(F.coalesce(same, F.lit(False)), strip(F.regexp_replace(rest, spoken, ""))).otherwise(strip(rest))
+    return F.when(~bare.rlike(r"^\d+\s*(分\s*(\d+\s*秒)?|秒)$") & (text != ""), text)

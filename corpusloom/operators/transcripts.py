@@ -67,6 +67,17 @@ def monologues(spoken: DataFrame) -> DataFrame:
     return _paired(spoken).where("pair = 0").select("doc_id", "turn", "said", "stamped")
 
 
+def rendered(spoken: DataFrame) -> DataFrame:
+    """(doc_id, text, turns): a line for each run of turns of one speaker."""
+    w = Window.partitionBy("doc_id").orderBy("turn")
+    fresh = F.coalesce(F.lag("speaker").over(w) != F.col("speaker"), F.lit(True)).cast("int")
+    runs = spoken.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    in_order = lambda order, text: F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
+    merged = runs.groupBy("doc_id", "run").agg(F.any_value("speaker").alias("speaker"), F.array_join(in_order("turn", "said"), " ").alias("said"))
+    lines = merged.withColumn("line", F.concat("speaker", F.lit("："), "said"))
+    return lines.groupBy("doc_id").agg(F.array_join(in_order("run", "line"), "\n").alias("text"), F.count("*").alias("turns"))
+
+
 def answer_chunks(found: DataFrame) -> DataFrame:
     """(doc_id, pair, number, question, text): answers in chunks of LEAST to MOST characters, cut at ends of sentences, each with its question."""
     keys = ["doc_id", "pair", "question"]

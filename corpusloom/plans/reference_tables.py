@@ -250,3 +250,90 @@ def s11_read_manifest(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "manifest")
     table(spark, d, "work_editions").select("edition_id", "orthography", "work_status").write.csv(path, header=True, escape='"', emptyValue="")
     return readers.read_manifest(spark, path)
+
+
+# Relations and counts
+
+
+@query("""with e as (select distinct canonical_work_id, edition_id, orthography from work_editions where edition_id is not null)
+select w.canonical_work_id, coalesce(string_agg(edition_id || ':' || coalesce(orthography, ''), ',' order by edition_id, orthography), '') as editions, count(edition_id) as number from (select distinct canonical_work_id from canonical_works) w left join e using (canonical_work_id) group by 1""")
+def j3_works_with_editions(spark: SparkSession, d: str) -> DataFrame:
+    """Each work with the list of its editions, empty for none."""
+    named = F.concat("edition_id", F.lit(":"), F.coalesce("orthography", F.lit("")))
+    editions = table(spark, d, "work_editions").where("edition_id is not null").select("canonical_work_id", "edition_id", "orthography").distinct()
+    lists = editions.groupBy("canonical_work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edition_id", named.alias("name")))), lambda x: x["name"]), ",").alias("editions"), F.count("*").alias("number"))
+    works = table(spark, d, "canonical_works").select("canonical_work_id").distinct()
+    return works.join(lists, "canonical_work_id", "left").select("canonical_work_id", F.coalesce("editions", F.lit("")).alias("editions"), F.coalesce("number", F.lit(0)).alias("number"))
+
+
+@query("""with c as (select distinct card_id, unnest(evidence_chunk_ids) as chunk_id from creative_cards), t as (select distinct card_id, unnest(representative_chunk_ids) as chunk_id from thought_cards),
+s as (select distinct chunk_id, source_id, chapter_id from source_chunks where chapter_id is not null), a as (select source_id, chapter_id, count(distinct card_id) as creative, count(distinct chunk_id) as cited from c join s using (chunk_id) group by all),
+b as (select source_id, chapter_id, count(distinct card_id) as thought from t join s using (chunk_id) group by all) select source_id, chapter_id, creative, thought, cited from a join b using (source_id, chapter_id)""")
+def j12_chapters_of_both_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters that creative and thought cards draw on: cards per chapter, no pairs of cards."""
+    chunks = table(spark, d, "source_chunks").where("chapter_id is not null").select("chunk_id", "source_id", "chapter_id").distinct()
+    cited = lambda name, ids: table(spark, d, name).select("card_id", F.explode(ids).alias("chunk_id")).distinct().join(chunks, "chunk_id")
+    creative = cited("creative_cards", "evidence_chunk_ids").groupBy("source_id", "chapter_id").agg(F.countDistinct("card_id").alias("creative"), F.countDistinct("chunk_id").alias("cited"))
+    thought = cited("thought_cards", "representative_chunk_ids").groupBy("source_id", "chapter_id").agg(F.countDistinct("card_id").alias("thought"))
+    return creative.join(thought, ["source_id", "chapter_id"]).select("source_id", "chapter_id", "creative", "thought", "cited")
+
+
+@query(" union all ".join(f"select '{t}' as name, count(*) as rows, count(*) > 0 as passed from {t}" for t in ("canonical_works", "work_editions", "sources", "source_chunks", "thought_cards", "creative_cards")))
+def a6_count_checks(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name in ("canonical_works", "work_editions", "sources", "source_chunks", "thought_cards", "creative_cards"):
+        one = table(spark, d, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", (F.col("rows") > 0).alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select person_id, count(*) filter (importance = 'high') as high, count(*) filter (importance = 'normal') as normal, count(*) filter (importance = 'low') as low, count(*) filter (importance is null) as unrated from thought_cards group by 1")
+def a20_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """A histogram of ratings per person, the unrated counted apart."""
+    rated = [F.count_if(F.col("importance") == x).alias(x) for x in ("high", "normal", "low")]
+    return table(spark, d, "thought_cards").groupBy("person_id").agg(*rated, F.count_if(F.col("importance").isNull()).alias("unrated"))
+
+
+@query("with s as (select o_custkey, cast(substr(o_orderpriority, 1, 1) as integer) as score from orders where o_orderpriority is not null) select o_custkey, round(sum(score) / (5.0 * count(*)), 6) as share, bool_or(score <= 2) as low from s group by 1")
+def a21_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The share of all points, and whether any score is low."""
+    scored = table(spark, d, "orders").where("o_orderpriority is not null").select("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("score"))
+    return scored.groupBy("o_custkey").agg(F.round(F.sum("score") / (F.count("*") * 5.0), 6).alias("share"), F.bool_or(F.col("score") <= 2).alias("low"))
+
+
+@query(ref._VOTES + "select e.label as own, r.label as found, count(*) as queries, e.label = r.label as passed from r join embeddings e on e.vec_id = r.query_id where r.rank = 1 group by all")
+def a23_confusions(spark: SparkSession, d: str) -> DataFrame:
+    """How often a query of each label is routed to each label."""
+    first = ref.retrieval.votes(ref._hits(spark, d), "label").where("rank = 1").select("query_id", F.col("label").alias("found"))
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    return first.join(own, "query_id").groupBy("own", "found").agg(F.count("*").alias("queries")).withColumn("passed", F.col("own") == F.col("found"))
+
+
+@query("select status, count(*) as cards, case status when 'rejected' then 1 when 'deprecated' then 2 when 'reviewing' then 3 when 'draft' then 4 else 5 end as place from thought_cards where status is not null group by 1")
+def a24_verdicts_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Cards by verdict, the worst first."""
+    order = F.create_map(*[F.lit(x) for pair in (("rejected", 1), ("deprecated", 2), ("reviewing", 3), ("draft", 4)) for x in pair])
+    counted = table(spark, d, "thought_cards").where("status is not null").groupBy("status").agg(F.count("*").alias("cards"))
+    return counted.withColumn("place", F.coalesce(F.try_element_at(order, F.col("status")), F.lit(5))).orderBy("place")
+
+
+@query("select card_id, unnest(evidence_chunk_ids) as chunk_id from creative_cards")
+def s17_json_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON, loaded and spread."""
+    path = fresh_path(spark, "rules")
+    table(spark, d, "creative_cards").select("card_id", "evidence_chunk_ids").write.json(path)
+    return spark.read.schema("card_id string, evidence_chunk_ids array<string>").json(path).select("card_id", F.explode("evidence_chunk_ids").alias("chunk_id"))
+
+
+@query(f"select person_id, lpad(regexp_extract(source_id, '(\\d+)$', 1), 10, '0') as work_id, title from {_SOURCES} where person_id is not null and title is not null and status = 'active' and regexp_matches(source_id, '\\d+$')")
+def s13_listed_in_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of persons, made of the sources, read again: the rows of one section, up to the next heading."""
+    sources = _latest(spark, d, "sources", "source_id", "person_id", "title", "status").where("person_id is not null and title is not null").where(F.col("source_id").rlike(r"\d+$"))
+    row = F.concat(F.lit('<li><a href="card'), F.regexp_extract("source_id", r"(\d+)$", 1), F.lit('.html"><b>'), readers.escaped(F.col("title")), F.lit("</b></a></li>"))
+    # A page is one section of each kind; here a source's own row, so that no page grows with the data.
+    page = F.concat(
+        F.lit('<h2><a name="others">x</a></h2>'), F.when(F.col("status") != "active", row).otherwise(""), F.lit('<h2><a name="sakuhin_list_2">y</a></h2><ol>'),
+        F.when(F.col("status") == "active", row).otherwise(""), F.lit('</ol><h2>z</h2><li><a href="card9.html">no</a></li>'),
+    )
+    found = readers.section_links(sources.select("person_id", page.alias("html")), "sakuhin_list_2")
+    return found.select("person_id", F.lpad("number", 10, "0").alias("work_id"), F.col("label").alias("title"))

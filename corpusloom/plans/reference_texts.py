@@ -91,6 +91,84 @@ def t12_line_kinds(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count_if(stamp).alias("stamps"), F.count_if(F.trim("raw") == "").alias("blanks"), F.max(F.length("raw")).cast("long").alias("longest"), F.count("*").alias("lines"))
 
 
+_LINES = r"""with s as (select chunk_id, text, cast(regexp_extract(timestamp_start, '(\d+):(\d+)$', 1) as integer) as m, cast(regexp_extract(timestamp_start, '(\d+):(\d+)$', 2) as integer) as sec from parsed_chunks where regexp_matches(timestamp_start, '\d+:\d+$') and text is not null),
+l as (select chunk_id, unnest([printf('%d:%02d', m, sec) || ' ' || m || '分' || sec || '秒 ' || text, printf('[%d:%02d]', m, sec) || (m + 1) || '分の話', printf('%d:%02d', m, sec), m || '分' || sec || '秒']) as line, unnest([1, 2, 3, 4]) as form, m, sec, text from s)
+"""
+
+
+@query(_LINES + rf"""select distinct chunk_id, form, case form when 1 then regexp_replace(text, '^{_B}+|{_B}+$', '', 'g') else (m + 1) || '分の話' end as text from l where form = 2 or form = 1 and regexp_replace(text, '{_B}+', '', 'g') <> ''""")
+def t29_spoken_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with their time stamp and its spoken form, of which only a form that names the same time goes; stamps alone are no lines."""
+    chunks = table(spark, d, "parsed_chunks").where(F.col("timestamp_start").rlike(r"\d+:\d+$") & F.col("text").isNotNull())
+    at = lambda k: F.regexp_extract("timestamp_start", r"(\d+):(\d+)$", k).cast("int")
+    stamp = F.format_string("%d:%02d", "m", "s")
+    said = F.format_string("%d分%d秒", "m", "s")
+    forms = F.array(F.concat(stamp, F.lit(" "), said, F.lit(" "), "text"), F.concat(F.lit("["), stamp, F.lit("]"), F.format_string("%d分の話", F.col("m") + 1)), stamp, said)
+    lines = chunks.select("chunk_id", "text", at(1).alias("m"), at(2).alias("s")).select("chunk_id", F.posexplode(forms).alias("form", "line"))
+    return lines.select("chunk_id", (F.col("form") + 1).alias("form"), tx.without_stamp(F.col("line")).alias("text")).where("text is not null").distinct()
+
+
+@query(_TURNS + """, z as (select *, case when lag(speaker) over (partition by doc_id order by turn) = speaker then 0 else 1 end as fresh from t),
+r as (select *, sum(fresh) over (partition by doc_id order by turn) as run from z), y as (select doc_id, run, any_value(speaker) as speaker, string_agg(said, ' ' order by turn) as said from r group by all)
+select doc_id, string_agg(speaker || '：' || said, chr(10) order by run) as text, count(*) as turns from y group by 1""")
+def t32_rendered_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring turns of one speaker merged, and the transcript written again."""
+    return transcripts.rendered(transcripts.turns(_documents(spark, d, "qa_transcript"), OWN, OTHER))
+
+
+_HEADING = r"^(#+ )?(第[0-9一二三四五六七八九十百]+[章回節]|(?i:chapter|chapitre|part|partie|section) +(\d+|[IVXLCDM]+)\b)"
+
+
+@query(f"with l as (select doc_id, unnest(string_split(text, chr(10))) as raw from documents where text is not null) select doc_id, count(*) as headings, min(raw) as first_of_all from l where regexp_matches(raw, '{_HEADING}') group by 1")
+def t10_detected_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that look like the heading of a chapter or section, marked or not."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
+    return lines.where(F.col("raw").rlike(_HEADING)).groupBy("doc_id").agg(F.count("*").alias("headings"), F.min("raw").alias("first_of_all"))
+
+
+_DASHED, _ENDED = "^[—―─━－]{1,3} *[^ ]", "[。!?！？、]$"
+
+
+@query(rf"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, regexp_replace(unnest(string_split(text, chr(10))), '^{_B}+|{_B}+$', '', 'g') as bare from documents where doc_kind in ('essay', 'letter', 'book_text') and text is not null),
+k as (select *, lag(bare) over (partition by doc_id order by line) as above from l)
+select doc_id, count(*) filter (regexp_matches(bare, '{_DASHED}')) as asked, count(*) filter (length(bare) between 2 and 24 and not regexp_matches(bare, '{_ENDED}') and not regexp_matches(bare, '{_DASHED}') and coalesce(above, '') = '') as sections, count(*) filter (bare <> '') as lines from k group by 1""")
+def t11_interview_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that a dash marks as questions, and short lines behind a blank one that may be headings."""
+    docs = table(spark, d, "documents").where("doc_kind in ('essay', 'letter', 'book_text') and text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("bare", tx.strip(F.col("raw")))
+    above = F.coalesce(F.lag("bare").over(Window.partitionBy("doc_id").orderBy("line")), F.lit(""))
+    asked = F.col("bare").rlike(_DASHED)
+    short = F.length("bare").between(2, 24) & ~F.col("bare").rlike(_ENDED) & ~asked & (F.col("above") == "")
+    return lines.withColumn("above", above).groupBy("doc_id").agg(F.count_if(asked).alias("asked"), F.count_if(short).alias("sections"), F.count_if(F.col("bare") != "").alias("lines"))
+
+
+@query(f"""select 'book_text' as chunker, doc_id, count(*) as chunks, sum(length(text)) as chars from ({chunking_sql.BOOK}) group by all union all select 'qa_transcript', doc_id, count(*), sum(length(text)) from ({chunking_sql.answers(_PAIRS)}) group by all
+union all select 'other', doc_id, count(*), sum(length(text)) from ({chunking_sql.CORPUS}) group by all""")
+def t14_chunks_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Every document by the chunker of its kind."""
+    from corpusloom.plans.reference_more import t28_paragraph_chunks
+
+    parts = [
+        ("book_text", chunking.book_chunks(_documents(spark, d, "book_text"))),
+        ("qa_transcript", transcripts.answer_chunks(transcripts.pairs(transcripts.turns(_documents(spark, d, "qa_transcript"), OWN, OTHER)))),
+        ("other", t28_paragraph_chunks(spark, d)),
+    ]
+    every = [p.select(F.lit(name).alias("chunker"), "doc_id", F.length("text").cast("long").alias("size")) for name, p in parts]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("chunker", "doc_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("chars"))
+
+
+@query(r"""with h as (select doc_id, list_transform(string_split(text, chr(10))[1:6], lambda x: trim(x)) as head from documents where text is not null),
+t as (select doc_id, nullif(trim(regexp_extract(list_filter(head, lambda x: regexp_matches(x, '^(?i:title|題名|動画名)\s*[:：]'))[1], '^[^:：]*[:：](.*)$', 1)), '') as title, list_filter(head, lambda x: regexp_matches(x, 'https?://[^\s]+'))[1] as url from h)
+select doc_id, regexp_replace(title, '^[「『【](.*)[」』】]$', '\1') as title, regexp_extract(url, 'https?://[^\s]+', 0) as url from t where title is not null or url is not null""")
+def s15_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Title and address in the first six lines; brackets around the whole title go."""
+    head = F.transform(F.slice(F.split("text", "\n"), 1, 6), F.trim)
+    title = F.get(F.filter(head, lambda x: x.rlike(r"^(?i:title|題名|動画名)\s*[:：]")), 0)
+    address = F.get(F.filter(head, lambda x: x.rlike(r"https?://[^\s]+")), 0)
+    found = table(spark, d, "documents").where("text is not null").select("doc_id", F.nullif(F.trim(F.regexp_extract(title, "^[^:：]*[:：](.*)$", 1)), F.lit("")).alias("title"), F.regexp_extract(address, r"https?://[^\s]+", 0).alias("url"))
+    return found.where("title is not null or url is not null").select("doc_id", F.regexp_replace("title", "^[「『【](.*)[」』】]$", "$1").alias("title"), "url")
+
+
 # Annotated files
 
 _FILES = r"""with f as (select doc_id, text, regexp_extract(text, '(?s)^[^\n]*\n[^\n]*\n.*?\n-{10,}\n.*?\n-{10,}(.*)$', 1) as behind from documents where doc_kind = 'annotated_file' and text is not null),

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,24 @@ def parsed_records(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("fields", F.map_from_entries(F.array_distinct(pairs))).withColumn("body", body).drop("block")
 
 
+def escaped(text: Column) -> Column:
+    """A text for HTML."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def section_links(pages: DataFrame, anchor: str) -> DataFrame:
+    """(…, number, label) of the links to cards in one section of pages (html, …): from the heading of that anchor to the next heading; tags
+    within a label go. Pages without the section have no links."""
+    section = F.split_part(F.regexp_extract("html", f'(?s)<h2><a name="{anchor}".*?</h2>(.*)$', 1), F.lit("<h2"), F.lit(1))
+    link = r'(?s)<a href="[^"]*?card(\d+)\.html">(.*?)</a>'
+    group = lambda k: F.regexp_extract_all(section, F.lit(link), F.lit(k))
+    rest = [c for c in pages.columns if c != "html"]
+    links = pages.select(*rest, F.explode(F.arrays_zip(group(1).alias("number"), group(2).alias("label"))).alias("x"))
+    bare = F.trim(F.regexp_replace("x.label", "<[^>]*>", ""))
+    plain = F.replace(F.replace(F.replace(bare, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return links.select(*rest, "x.number", plain.alias("label"))
+
+
 def lenient_json(text: str | None) -> str | None:
     """The JSON object in an answer: a fenced block, else from the first brace to the last; null if there is none."""
     if not text:

@@ -61,3 +61,19 @@ def test_updates_revisions_and_repeated_rows(spark):
     lists = spark.createDataFrame([("a", ["p", "p"]), ("a", ["p", "p"]), ("a", ["r"]), (None, ["p"])], "k string, xs array<string>")
     pairs = spark.createDataFrame([("p", "q")], "old string, new string")
     assert sorted((r.k or "", r.xs) for r in replaced("xs", pairs, lists, "k").collect()) == [("", ["q"]), ("a", ["q", "q"]), ("a", ["q", "q"]), ("a", ["r"])]
+
+
+def test_stamps_and_their_spoken_form(spark):
+    from corpusloom.functions.text import without_stamp
+
+    lines = {"3:08 3分8秒 はい": "はい", "0:16 16秒 はい": "はい", "3:00 3分 はい": "はい", "3:08 4分8秒 はい": "4分8秒 はい", "3:08": None, "3分8秒": None, " 8秒 ": None, "3:08 はい": "はい", "はい 3分": "はい 3分", "": None, "16秒待った": "16秒待った", "[00:16]16秒待った": "待った"}
+    df = spark.createDataFrame([(x,) for x in [*lines, None]], "line string")
+    assert {r.line: r.t for r in df.select("line", without_stamp(F.col("line")).alias("t")).collect()} == {**lines, None: None}
+
+
+def test_links_of_one_section(spark):
+    from corpusloom.sources.readers import section_links
+
+    page = '<h2><a name="a">1</a></h2><a href="card1.html">no</a><h2><a name="b">2</a></h2>\n<a href="card22.html"><b>T &amp; <i>U</i></b></a>\n<a href="card3.html">V</a><h2>x</h2><a href="card4.html">no</a>'
+    df = spark.createDataFrame([("p", page), ("q", "<p>nothing</p>"), ("r", None)], "id string, html string")
+    assert {tuple(r) for r in section_links(df, "b").collect()} == {("p", "22", "T & U"), ("p", "3", "V")}
