@@ -583,6 +583,9 @@ def garbled(records: DataFrame) -> DataFrame:
     return (
         joined_hot(doubtful, sources, ["source"], "record_id", HOT_TEXTS)
         .select("record_table", "record_id", "source", "text", "maps")
+        # The join's partitions are few bytes, but much work.
+        .repartition(partitions(spark), "record_id")
+        .sortWithinPartitions("source")
         .mapInPandas(lambda it: _decide(it, shared.value[0]), "record_table string, record_id string, swaps string, gain double, restored string")
     )
 
