@@ -26,6 +26,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], supplied: Sequen
     return joined.select(*[F.when(F.col("_in_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c) for c in old.columns])
 
 
+def one_row(df: DataFrame, none_allowed: bool = False):
+    """The only row; an error if there is none (unless allowed: null then) or more than one. Two rows at most come to the driver."""
+    rows = df.limit(2).collect()
+    if len(rows) > 1 or not (rows or none_allowed):
+        raise ValueError(f"{'more than one row' if rows else 'no row'} where one is due")
+    return rows[0] if rows else None
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Old rows, and those new rows whose key is not there yet."""
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"))

@@ -77,3 +77,15 @@ def test_links_of_one_section(spark):
     page = '<h2><a name="a">1</a></h2><a href="card1.html">no</a><h2><a name="b">2</a></h2>\n<a href="card22.html"><b>T &amp; <i>U</i></b></a>\n<a href="card3.html">V</a><h2>x</h2><a href="card4.html">no</a>'
     df = spark.createDataFrame([("p", page), ("q", "<p>nothing</p>"), ("r", None)], "id string, html string")
     assert {tuple(r) for r in section_links(df, "b").collect()} == {("p", "22", "T & U"), ("p", "3", "V")}
+
+
+def test_one_row(spark):
+    import pytest
+
+    from corpusloom.operators.mutations import one_row
+
+    df = spark.range(3)
+    assert one_row(df.where("id = 1")).id == 1 and one_row(df.where("id > 5"), none_allowed=True) is None
+    for bad in (df, df.where("id > 5")):
+        with pytest.raises(ValueError):
+            one_row(bad)
