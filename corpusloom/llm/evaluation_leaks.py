@@ -115,10 +115,11 @@ class Batch:
 
 
 def _items(ids: list[int], b: Batch) -> dict[str, np.ndarray]:
-    """Item windows sorted by template hash, with a bitmap over their low bits."""
+    """Item windows sorted by template hash, with a bitmap over their low bits (4 MB)."""
     order = np.argsort(b.template, kind="stable")
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[(b.template & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
+    bitmap = np.packbits(bitmap, bitorder="little")
     return {
         "id": np.array(ids, np.int64),
         "length": b.lengths,
@@ -141,7 +142,8 @@ def _covered(group: np.ndarray, position: np.ndarray, window: int = WINDOW) -> t
 
 def _matches(docs: Batch, items: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (document window, item window) of equal template hash."""
-    maybe = np.flatnonzero(items["bitmap"][(docs.template & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+    low = (docs.template & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    maybe = np.flatnonzero(items["bitmap"][low >> 3] >> (low & 7).astype(np.uint8) & 1)
     low = np.searchsorted(items["template"], docs.template[maybe], "left")
     high = np.searchsorted(items["template"], docs.template[maybe], "right")
     count = high - low
