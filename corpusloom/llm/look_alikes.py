@@ -243,10 +243,10 @@ KEY = ["field", "person_id", "form"]
 
 
 def look_alike_classes(works: DataFrame) -> DataFrame:
-    """(field, person_id, form, spellings, works): what looks the same, with the number of spellings and of works."""
+    """(field, person_id, form, first_value, spellings, works): what looks the same, with its smallest spelling and the number of spellings and of works."""
     values = checkpoint(work_values(works))
     formed = values.join(consistent_forms(values), "value")
-    return formed.groupBy(*KEY).agg(F.countDistinct("value").alias("spellings"), F.countDistinct("work").alias("works"))
+    return formed.groupBy(*KEY).agg(F.min("value").alias("first_value"), F.countDistinct("value").alias("spellings"), F.countDistinct("work").alias("works"))
 
 
 def look_alike_works(works: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of values that look the same, with their spellings and works."""
-    return look_alikes.look_alike_classes(table(spark, sf_dir, "canonical_works")).where("spellings > 1")
+    return look_alikes.look_alike_classes(table(spark, sf_dir, "canonical_works")).where("spellings > 1").drop("form")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +190,14 @@ def _form(column: str) -> str:
     return f"trim(regexp_replace({fold(f'nfc_normalize({fold(fold(visible, single), classes)})', classes)}, ' +', ' ', 'g'))"
 
 
-_P3 = f"""
+_P3_FORMS = f"""
 with v as (
   select 'canonical_title' as field, person_id, canonical_work_id as work, canonical_title as value from canonical_works
   union select 'canonical_title_reading', person_id, canonical_work_id, canonical_title_reading from canonical_works
   union select 'title_variants', person_id, canonical_work_id, unnest(title_variants) from canonical_works
 ), f as (select *, {_form("value")} as form from v where value is not null and person_id is not null and work is not null)
+"""
+_P3 = _P3_FORMS + """
 select distinct a.field, a.work as work_a, b.work as work_b from f a join f b on a.field = b.field and a.person_id = b.person_id and a.form = b.form and a.work < b.work and a.value <> b.value
 where a.form <> ''
 """
@@ -215,6 +217,7 @@ SQL = {
     + "select record_table, chunk_id, chars, cast(sum(least(60, coalesce(later - i, 60))) as bigint) as shared_chars, count(*) filter (earlier is null or i > earlier + 60) as passages, "
     + "sum(least(60, coalesce(later - i, 60))) / chars as share from r group by record_table, chunk_id, chars",
     "p3_found": _P3,
+    "p3_classes": _P3_FORMS + "select field, person_id, min(value) as first_value, count(distinct value) as spellings, count(distinct work) as works from f where form <> '' group by field, person_id, form having count(distinct value) > 1",
     "p7_found": _P7 + "select item_id, doc_id from r group by item_id, doc_id, chars having 2 * sum(least(20, coalesce(later - k, 20))) >= chars",
     "p5_found": _P5 + "select distinct kept_id, id as copy_id from g where id <> kept_id",
     "p5_collapsed": _P5 + "select min(id) as kept_id, count(*) as copies from k group by q, canon",
