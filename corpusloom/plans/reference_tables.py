@@ -337,3 +337,22 @@ def s13_listed_in_pages(spark: SparkSession, d: str) -> DataFrame:
     )
     found = readers.section_links(sources.select("person_id", page.alias("html")), "sakuhin_list_2")
     return found.select("person_id", F.lpad("number", 10, "0").alias("work_id"), F.col("label").alias("title"))
+
+
+_PLAIN = "^[ぁ-んァ-ン一-龠。、「」\\n　]+$"
+
+
+@query(f"""select doc_id, unnest(['txt', 'zip', 'docx', 'txt']) as kind, unnest([1, 2, 3, 4]) as form, length(text) > 0 and unnest([true, true, true, false]) as same from documents where doc_kind in ('letter', 'essay') and regexp_matches(text, '{_PLAIN}')""")
+def s10_decoded_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts packed as text, zip and word files and decoded again; the last is UTF-16 read as UTF-8."""
+    docs = table(spark, d, "documents").where("doc_kind in ('letter', 'essay')").where(F.col("text").rlike(_PLAIN)).select("doc_id", "text")
+    name = F.col("doc_id").cast("string")
+    packed = F.array(
+        *[F.struct(F.concat(name, F.lit(f"_{form}.{kind}")).alias("path"), content.alias("content")) for form, kind, content in (
+            (1, "txt", F.encode("text", "UTF-8")), (2, "zip", readers.zipped(name, "text", F.lit("zip"))), (3, "docx", readers.zipped(name, "text", F.lit("docx"))), (4, "txt", F.encode("text", "UTF-16")),
+        )]
+    )
+    read = readers.decoded(docs.select(F.explode(packed).alias("x")).select("x.*"))
+    part = lambda k: F.regexp_extract("path", r"^(\d+)_(\d)", k)
+    found = read.select(part(1).cast("long").alias("doc_id"), "kind", part(2).cast("int").alias("form"), F.col("text").alias("again"), "garbled")
+    return found.join(docs, "doc_id").select("doc_id", "kind", "form", (F.col("again") == F.col("text")).alias("same")).distinct()

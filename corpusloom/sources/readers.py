@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _texts(kind: str, content: bytes, extractors: dict[str, Callable[[bytes], str]]) -> str:
@@ -32,8 +33,8 @@ def _texts(kind: str, content: bytes, extractors: dict[str, Callable[[bytes], st
     return content.decode("utf-8", "replace")
 
 
-def read_files(spark: SparkSession, path: str, encoding: str | None = None, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """(path, kind, text, garbled): text files, zipped texts and word files of a folder; other kinds by the extractors given.
+def decoded(files: DataFrame, encoding: str | None = None, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(path, kind, text, garbled) of files (path, content): text files, zipped texts and word files; other kinds by the extractors given.
 
     garbled is the share of replacement marks. A file that can't be read has a null text and stays in the result.
     """
@@ -51,7 +52,28 @@ def read_files(spark: SparkSession, path: str, encoding: str | None = None, extr
                 rows.append((p, kind, text, None if text is None else text.count("�") / max(1, len(text))))
             yield pd.DataFrame(rows, columns=["path", "kind", "text", "garbled"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, kind string, text string, garbled double")
+    return files.where("path is not null and content is not null").select("path", "content").mapInPandas(decode, "path string, kind string, text string, garbled double")
+
+
+def read_files(spark: SparkSession, path: str, encoding: str | None = None, extractors: dict[str, Callable[[bytes], str]] | None = None, pattern: str = "*") -> DataFrame:
+    """The files of a folder whose names fit the pattern, ``decoded``."""
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path), encoding, extractors)
+
+
+@F.pandas_udf(T.BinaryType())
+def zipped(names: pd.Series, texts: pd.Series, kinds: pd.Series) -> pd.Series:
+    """A zip file with one CP932 text (kind zip), or a word file of plain paragraphs (kind docx)."""
+    out = []
+    for name, text, kind in zip(names, texts, kinds):
+        content = io.BytesIO()
+        with zipfile.ZipFile(content, "w") as z:
+            if kind == "docx":
+                body = "".join(f"<w:p><w:r><w:t>{line}</w:t></w:r></w:p>" for line in text.split("\n"))
+                z.writestr("word/document.xml", f"<w:document><w:body>{body}</w:body></w:document>")
+            else:
+                z.writestr(f"{name}.txt", text.encode("cp932", "replace"))
+        out.append(content.getvalue())
+    return pd.Series(out)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
