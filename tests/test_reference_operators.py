@@ -58,6 +58,13 @@ def test_shared_grams_and_runs_against_brute_force(spark):
     assert got == want
 
 
+def test_shared_grams_of_texts_without_any(spark):
+    texts = spark.createDataFrame([("a", "xxxxxxxxxxxx"), ("b", ""), ("c", None)], "id string, text string")
+    drafts = spark.createDataFrame([("d", "yyyyyyyyyyyyyy"), ("e", "short"), ("f", None)], "draft_id string, text string")
+    assert retrieval.shared_grams(texts, drafts).count() == 0 and retrieval.shared_grams(texts, drafts.where("false")).count() == 0
+    assert {(r.draft_id, r.longest, r.ratio, r.passed) for r in retrieval.similarity_verdicts(texts, drafts).collect()} == {("d", 0, 0.0, True), ("e", 0, 0.0, True)}
+
+
 def test_similarity_verdicts_against_brute_force(spark):
     random.seed(6)
     noise = re.compile(r"[\s、。，．・「」『』（）()\[\]〔〕【】…―ー−—’'\"“”！？!?：:；;]")
