@@ -194,11 +194,9 @@ select chunk_id, min(card_id) as card_id, count(distinct card_id) as entries fro
 def j9_named_in_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The first card, in order of id, one of whose names stands in a chunk."""
     cards = mutations.latest(table(spark, d, "thought_cards").select("card_id", "updated_at", "title"), ["card_id"], "updated_at").where("title is not null")
-    names = cards.select("card_id", F.explode(F.split("title", "と")).alias("term")).where("term <> ''").distinct()
-    texts = table(spark, d, "source_chunks").where("chunk_id is not null").select(F.col("chunk_id").alias("id"), "text")
-    # Which names stand in a chunk comes out first; a name's first card and its cards are known per name.
-    found = retrieval.named_terms(texts, names).select("id", "term").distinct().join(names, "term")
-    return found.groupBy(F.col("id").alias("chunk_id")).agg(F.min("card_id").alias("card_id"), F.countDistinct("card_id").alias("entries"))
+    names = cards.select(F.col("card_id").alias("entry"), F.explode(F.split("title", "と")).alias("term"))
+    found = retrieval.named_entries(table(spark, d, "source_chunks").select(F.col("chunk_id").alias("id"), "text"), names)
+    return found.select(F.col("id").alias("chunk_id"), F.col("first").alias("card_id"), "entries")
 
 
 @query("""select label, count(distinct chunk_id) as chunks from (select chunk_id, unnest([case when (contains(text, '公園') or contains(text, '庭園')) and not contains(text, '遊園地') then 'park' end,

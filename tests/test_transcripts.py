@@ -1,5 +1,10 @@
+import random
+
+import numpy as np
+
 from corpusloom.operators import retrieval, transcripts
 from corpusloom.operators.mutations import replaced, revisions, updated
+from corpusloom.plans import reference_evidence
 from pyspark.sql import functions as F
 
 OWN, OTHER = ["本人"], ["質問者"]
@@ -89,3 +94,52 @@ def test_one_row(spark):
     for bad in (df, df.where("id > 5")):
         with pytest.raises(ValueError):
             one_row(bad)
+
+
+def test_named_entries_by_brute_force(spark):
+    rng = random.Random(5)
+    words = [a + b for a in "abcdef" for b in "xyz"] + list("abc")
+    names = [(f"e{k}", w) for k in range(120) for w in rng.sample(words, rng.choice([1, 2, 2, 2, 3, 5, 20]))] + [("e1", ""), (None, "ax"), ("e2", None), ("e3", "zzz")]
+    texts = [(rng.choice([None, *map(str, range(60))]), "".join(rng.choice("abcdefxyz ") for _ in range(rng.choice([0, 3, 8, 300])))) for _ in range(150)] + [("7", None), ("no", "zz")]
+    want = {}
+    for i, text in texts:
+        want.setdefault(i, set()).update(e for e, w in names if e and w and text and w in text)
+    want = {(i, min(found), len(found)) for i, found in want.items() if found}
+    t, n = spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame(names + names[:9], "entry string, term string")
+    for blocks in ((50_000, 500_000), (5, 40)):
+        assert {tuple(r) for r in retrieval.named_entries(t, n, *blocks).collect()} == want
+    assert retrieval.named_entries(t, n.where("false")).count() == 0 and retrieval.named_entries(t.where("false"), n).count() == 0
+
+
+def test_excess_is_the_same_by_pairs_and_by_names(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(40, k, replace=False)) for k in rng.choice([2, 2, 2, 3, 4, 25], 500)]
+    entries, rows = rng.integers(1, 9, 500), [np.sort(rng.choice(40, k, replace=False)) for k in (1, 2, 3, 5, 8, 20, 40)]
+    want = [int(sum(n * max(0, len(np.intersect1d(s, row)) - 1) for s, n in zip(sets, entries))) for row in rows]
+    values, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    for paired, at_once in ((16, 2_000_000), (1, 50), (99, 1), (2, 300)):
+        monkeypatch.setattr(retrieval, "MOST_PAIRED", paired)
+        monkeypatch.setattr(retrieval, "MOST_AT_ONCE", at_once)
+        assert retrieval.NameSets(sets, entries, 40).excess(values, sizes).tolist() == want
+
+
+def test_no_row_per_chunk_and_card_is_shuffled(spark, tmp_path):
+    spark.range(300).selectExpr("concat('c', id) as card_id", "timestamp'2024-01-01' as updated_at", "concat('山と川', id % 7) as title").write.parquet(f"{tmp_path}/thought_cards.parquet")
+    spark.range(301).selectExpr("if(id = 300, null, concat('k', id)) as chunk_id", "concat('山の上', id) as text").write.parquet(f"{tmp_path}/source_chunks.parquet")
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    # As with tables too large for a broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = reference_evidence.j9_named_in_chunks(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled() - before < 10_000
+    assert {tuple(r) for r in got} == {(c, "c0", 300) for c in [None, *(f"k{n}" for n in range(300))]}
